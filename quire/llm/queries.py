@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import contamination, packing, quantiles, tokens
+from quire.llm import contamination, packing, pair_defects, quantiles, reading_level, tokens
 from quire.llm.visual_text import consistent_form
 from quire.session import cut_lineage
 from quire.sources.tables import table
@@ -13,6 +13,20 @@ from quire.sources.tables import table
 QUERIES, SQL = {}, {}
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair with an unusable answer, with its kind of defect."""
+    return pair_defects.find_defects(table(spark, d, "translations"))
+
+
+def p1_defect_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs and defects by group and target language."""
+    pairs = table(spark, d, "translations").select("translation_id", "group_name", "target_lang").distinct()
+    bad = p1_found(spark, d).withColumnRenamed("translation_id", "bad_id")
+    joined = pairs.join(bad, F.col("translation_id") == F.col("bad_id"), "left")
+    kinds = [F.count_if(F.col("defect_type") == k).alias(f"n_{k}") for k in ("empty", "truncated", "refusal", "source_copy", "wrong_language")]
+    return joined.groupBy("group_name", "target_lang").agg(F.countDistinct("translation_id").alias("n_pairs"), *kinds)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Fragments that read as a region of their asset does, in other characters."""
     regions = table(spark, d, "evaluation_regions").where(F.col("expected") != "").select("region_id", "asset_id", "expected", consistent_form("expected").alias("form"))
@@ -112,7 +126,22 @@ def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return held.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("share").alias("longest_share"))
 
 
+def p8_reading_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Measures of every text's reading difficulty, and its estimated level."""
+    return reading_level.reading_levels(table(spark, d, "documents"), table(spark, d, "level_ratings"))
+
+
+def p8_level_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """How the measures go with the readers' ratings, by language."""
+    return reading_level.level_agreement(p8_reading_levels(spark, d), table(spark, d, "level_ratings"))
+
+
+def p8_document_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    """In how many documents each word of each language occurs."""
+    return reading_level.document_frequencies(table(spark, d, "documents"))
+
+
 QUERIES |= {
     f.__name__: f
-    for f in (p4_found, p4_consistent_regions, p4_consistent_fragments, p5_stage_percentiles, p5_rank_check, p6_containers, p6_fill_report, p7_found, p7_spans, p7_leaked_items)
+    for f in (p1_found, p1_defect_rates, p4_found, p4_consistent_regions, p4_consistent_fragments, p5_stage_percentiles, p5_rank_check, p6_containers, p6_fill_report, p7_found, p7_spans, p7_leaked_items, p8_reading_levels, p8_level_agreement, p8_document_frequencies)
 }
