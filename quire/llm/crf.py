@@ -43,8 +43,8 @@ def _batch_gradient(f: Field, x: np.ndarray, y: np.ndarray) -> tuple[float, list
     for i in range(1, t):
         truth = truth + f.step[y[:, i - 1], y[:, i]]
         pair = np.exp(ahead[i - 1][:, :, None] + f.step + (score[:, i] + back[i])[:, None, :] - total[:, None, None])
-        step += np.einsum("na,nb->ab", one[:, i - 1], one[:, i]) - pair.sum(0)
-    emit = np.einsum("ntk,ntf->kf", one - chance, x)
+        step += one[:, i - 1].T @ one[:, i] - pair.sum(0)
+    emit = (one - chance).reshape(n * t, k).T @ x.reshape(n * t, -1)
     return float((truth - total).sum()), [emit, step, (one - chance)[:, 0].sum(0), (one - chance)[:, -1].sum(0)]
 
 
