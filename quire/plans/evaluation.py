@@ -53,7 +53,7 @@ def sorted_distinct_set(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "fragments").groupBy("asset_id").agg(F.array_join(F.array_sort(F.collect_set("ocr_error")), ",").alias("errors"))
 
 
-@R.query("SELECT check_version, count_if(finding_codes_json = '[]') || '/' || count(*) AS passed FROM grouping_check_results GROUP BY 1")
+@R.query("SELECT check_version, count(*) FILTER (finding_codes_json = '[]') || '/' || count(*) AS passed FROM grouping_check_results GROUP BY 1")
 def check_ratio_text(spark: SparkSession, d: str) -> DataFrame:
     passed = F.concat(F.count_if(F.col("finding_codes_json") == "[]").cast("string"), F.lit("/"), F.count("*").cast("string"))
     return table(spark, d, "grouping_check_results").groupBy("check_version").agg(passed.alias("passed"))
@@ -86,20 +86,20 @@ def worst_of_ordinal(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy("o_custkey").agg(exprs.worst_of(F.col("o_orderpriority"), PRIORITIES).alias("worst_priority"))
 
 
-@R.query("""SELECT user_id, CASE WHEN bool_and(event_type <> 'error') THEN 'GO' WHEN count_if(event_type = 'error') * 4 < count(*) THEN 'CONDITIONAL' ELSE 'NO_GO' END AS verdict FROM events GROUP BY 1""")
+@R.query("""SELECT user_id, CASE WHEN bool_and(event_type <> 'error') THEN 'GO' WHEN count(*) FILTER (event_type = 'error') * 4 < count(*) THEN 'CONDITIONAL' ELSE 'NO_GO' END AS verdict FROM events GROUP BY 1""")
 def verdict(spark: SparkSession, d: str) -> DataFrame:
     bad = F.col("event_type") == "error"
     decision = F.when(F.bool_and(~bad), "GO").when(F.count_if(bad) * 4 < F.count("*"), "CONDITIONAL").otherwise("NO_GO")
     return table(spark, d, "events").groupBy("user_id").agg(decision.alias("verdict"))
 
 
-@R.query("SELECT user_id, count_if(event_type = 'signup') AS n_signup, count_if(event_type = 'error') AS n_error, count_if(event_type = 'signup') > 0 AND count_if(event_type = 'error') > 0 AS mixed FROM events GROUP BY 1")
+@R.query("SELECT user_id, count(*) FILTER (event_type = 'signup') AS n_signup, count(*) FILTER (event_type = 'error') AS n_error, count(*) FILTER (event_type = 'signup') > 0 AND count(*) FILTER (event_type = 'error') > 0 AS mixed FROM events GROUP BY 1")
 def mixed_outcome(spark: SparkSession, d: str) -> DataFrame:
     a, b = F.count_if(F.col("event_type") == "signup"), F.count_if(F.col("event_type") == "error")
     return table(spark, d, "events").groupBy("user_id").agg(a.alias("n_signup"), b.alias("n_error"), ((a > 0) & (b > 0)).alias("mixed"))
 
 
-@R.query("""SELECT o_custkey, count_if(o_orderpriority = '1-URGENT') AS n_urgent, count_if(o_orderpriority = '2-HIGH') AS n_high, count(DISTINCT o_orderstatus) AS n_statuses, bool_or(o_orderstatus = 'F') AS any_failed,
+@R.query("""SELECT o_custkey, count(*) FILTER (o_orderpriority = '1-URGENT') AS n_urgent, count(*) FILTER (o_orderpriority = '2-HIGH') AS n_high, count(DISTINCT o_orderstatus) AS n_statuses, bool_or(o_orderstatus = 'F') AS any_failed,
   string_agg(DISTINCT o_orderstatus || left(o_orderpriority, 1), ',' ORDER BY o_orderstatus || left(o_orderpriority, 1)) AS dedupe_keys FROM orders GROUP BY 1""")
 def issue_summary(spark: SparkSession, d: str) -> DataFrame:
     p, s = F.col("o_orderpriority"), F.col("o_orderstatus")
@@ -149,7 +149,7 @@ def split_and_overall(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query("""SELECT work_id, count(*) AS n_documents, round(avg(CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END), 6) AS english_share,
-  CASE WHEN count_if(lang = 'en') * 10 >= count(*) * 8 THEN 'english' WHEN count_if(lang = 'en') * 10 >= count(*) * 4 THEN 'mixed' ELSE 'other' END AS class FROM documents WHERE work_id IS NOT NULL GROUP BY 1""")
+  CASE WHEN count(*) FILTER (lang = 'en') * 10 >= count(*) * 8 THEN 'english' WHEN count(*) FILTER (lang = 'en') * 10 >= count(*) * 4 THEN 'mixed' ELSE 'other' END AS class FROM documents WHERE work_id IS NOT NULL GROUP BY 1""")
 def work_classification(spark: SparkSession, d: str) -> DataFrame:
     n, en = F.count("*"), F.count_if(F.col("lang") == "en")
     share = F.round(F.avg(F.when(F.col("lang") == "en", 1.0).otherwise(0.0)), 6)
@@ -167,7 +167,7 @@ def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.confusion_matrix(table(spark, d, "stage_timings"), F.col("status"), guess, _STATES)
 
 
-@R.query("""WITH c AS (SELECT stage, count_if(status = 'reused' AND duration_ms = 0) AS tp, count_if(status <> 'reused' AND duration_ms = 0) AS fp, count_if(status = 'reused' AND duration_ms <> 0) AS fn FROM stage_timings GROUP BY 1)
+@R.query("""WITH c AS (SELECT stage, count(*) FILTER (status = 'reused' AND duration_ms = 0) AS tp, count(*) FILTER (status <> 'reused' AND duration_ms = 0) AS fp, count(*) FILTER (status = 'reused' AND duration_ms <> 0) AS fn FROM stage_timings GROUP BY 1)
 SELECT *, round(tp::DOUBLE / nullif(tp + fp, 0), 6) AS precision, round(tp::DOUBLE / nullif(tp + fn, 0), 6) AS recall, round(tp::DOUBLE / nullif(tp + fp + fn, 0), 6) AS iou FROM c""")
 def binary_metrics(spark: SparkSession, d: str) -> DataFrame:
     counts = table(spark, d, "stage_timings").groupBy("stage").agg(*evaluate.binary_counts(F.col("status") == "reused", F.col("duration_ms") == 0))
@@ -190,8 +190,8 @@ def stratified_pr(spark: SparkSession, d: str) -> DataFrame:
 _GRID = tuple(range(0, 5000, 250))
 
 
-@R.query(f"""WITH e AS (SELECT n_chars, reading_level >= 4 AS truth FROM documents d JOIN level_ratings r ON d.doc_id = r.doc_id WHERE reading_level IS NOT NULL), t AS (SELECT unnest({list(map(float, _GRID))}) AS threshold),
-c AS (SELECT threshold, CAST(count_if(truth AND n_chars >= threshold) AS BIGINT) AS tp, CAST(count_if(NOT truth AND n_chars >= threshold) AS BIGINT) AS fp, CAST(count_if(truth AND n_chars < threshold) AS BIGINT) AS fn FROM t, e GROUP BY 1)
+@R.query(f"""WITH e AS (SELECT n_chars, reading_level >= 4 AS truth FROM documents d JOIN level_ratings r ON d.doc_id = r.doc_id WHERE reading_level IS NOT NULL), t AS (SELECT unnest({list(map(float, _GRID))}::DOUBLE[]) AS threshold),
+c AS (SELECT threshold, CAST(count(*) FILTER (truth AND n_chars >= threshold) AS BIGINT) AS tp, CAST(count(*) FILTER (NOT truth AND n_chars >= threshold) AS BIGINT) AS fp, CAST(count(*) FILTER (truth AND n_chars < threshold) AS BIGINT) AS fn FROM t, e GROUP BY 1)
 SELECT *, round(tp::DOUBLE / nullif(tp + fp, 0), 6) AS precision, round(tp::DOUBLE / nullif(tp + fn, 0), 6) AS recall, round(tp::DOUBLE / nullif(tp + fp + fn, 0), 6) AS iou FROM c""")
 def threshold_calibration(spark: SparkSession, d: str) -> DataFrame:
     ratings = table(spark, d, "level_ratings").where("reading_level is not null").select(F.col("doc_id").alias("rated"), (F.col("reading_level") >= 4).alias("truth"))
@@ -199,7 +199,7 @@ def threshold_calibration(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.calibrate(examples, "n_chars", "truth", _GRID)
 
 
-@R.query("SELECT lang, n_total - n_known AS uncovered FROM (SELECT lang, count(*) AS n_total, count_if(source IS NOT NULL) + count_if(source IS NULL) AS n_known FROM documents GROUP BY 1) WHERE n_total <> n_known")
+@R.query("SELECT lang, n_total - n_known AS uncovered FROM (SELECT lang, count(*) AS n_total, count(*) FILTER (source IS NOT NULL) + count(*) FILTER (source IS NULL) AS n_known FROM documents GROUP BY 1) WHERE n_total <> n_known")
 def coverage_invariant(spark: SparkSession, d: str) -> DataFrame:
     """An assertion: rows come out only where the counts by source don't add up."""
     sums = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n_total"), (F.count_if(F.col("source").isNotNull()) + F.count_if(F.col("source").isNull())).alias("n_known"))

@@ -114,8 +114,8 @@ SQL["p3_found"] = _ORPHANS + "\nSELECT DISTINCT ref_table, period, record_id, or
 SQL["p3_orphan_report"] = (
     _ORPHANS
     + """
-SELECT ref_table, period, count(DISTINCT record_id) AS n_references, count_if(orphan_kind = 'missing') AS n_missing,
-  count_if(orphan_kind = 'deleted') AS n_deleted, count_if(orphan_kind = 'late') AS n_late
+SELECT ref_table, period, count(DISTINCT record_id) AS n_references, count(CASE WHEN orphan_kind = 'missing' THEN 1 END) AS n_missing,
+  count(CASE WHEN orphan_kind = 'deleted' THEN 1 END) AS n_deleted, count(CASE WHEN orphan_kind = 'late' THEN 1 END) AS n_late
 FROM judged GROUP BY ALL"""
 )
 

@@ -136,11 +136,15 @@ def multi_source_reach(spark: SparkSession, d: str) -> DataFrame:
 
 
 def signature_words(vector: str = "embedding") -> list[Column]:
-    """The first 64 values against their median as two 32-bit words, ``high`` and ``low``."""
-    values = F.array_sort(F.transform(F.slice(vector, 1, 64), lambda x: x.cast("double")))
-    middle = (values[31] + values[32]) / 2
-    word = lambda start: F.aggregate(F.slice(vector, start, 32), F.lit(0).cast("long"), lambda acc, x: acc * 2 + (x > middle).cast("long"))
-    return [word(1).alias("high"), word(33).alias("low")]
+    """The first 64 values against their median as two 32-bit words, ``high`` and ``low``.
+
+    The median is bound once as a lambda's variable; named as a column it would be sorted anew for every bit.
+    """
+    values = F.transform(F.slice(vector, 1, 64), lambda x: x.cast("double"))
+    middle = F.transform(F.array(F.array_sort(values)), lambda s: (s[31] + s[32]) / 2)
+    word = lambda start, m: F.aggregate(F.slice(values, start, 32), F.lit(0).cast("long"), lambda acc, x: acc * 2 + (x > m).cast("long"))
+    both = F.transform(middle, lambda m: F.struct(word(1, m).alias("high"), word(33, m).alias("low")))[0]
+    return [both["high"].alias("high"), both["low"].alias("low")]
 
 
 _BITS = """s AS (SELECT vec_id, CAST(sum(CASE WHEN i <= 32 AND x > m THEN pow(2, 32 - i) ELSE 0 END) AS BIGINT) AS high, CAST(sum(CASE WHEN i > 32 AND x > m THEN pow(2, 64 - i) ELSE 0 END) AS BIGINT) AS low FROM (

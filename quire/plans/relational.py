@@ -120,8 +120,8 @@ def set_reconcile(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.set_reconcile(table(spark, d, "documents"), table(spark, d, "level_ratings"), ["doc_id"])
 
 
-@R.query("""SELECT c_custkey, count(o_orderkey) AS n_orders, count_if(o_orderstatus = 'O') AS n_open, count_if(o_orderstatus = 'O' AND o_orderpriority = '1-URGENT') AS n_blocking,
-  CASE WHEN count_if(o_orderstatus = 'O' AND o_orderpriority = '1-URGENT') > 0 THEN 'blocked' WHEN count_if(o_orderstatus = 'O') > 0 OR count(o_orderkey) = 0 THEN 'with_warnings' ELSE 'ready' END AS readiness
+@R.query("""SELECT c_custkey, count(o_orderkey) AS n_orders, count(*) FILTER (o_orderstatus = 'O') AS n_open, count(*) FILTER (o_orderstatus = 'O' AND o_orderpriority = '1-URGENT') AS n_blocking,
+  CASE WHEN count(*) FILTER (o_orderstatus = 'O' AND o_orderpriority = '1-URGENT') > 0 THEN 'blocked' WHEN count(*) FILTER (o_orderstatus = 'O') > 0 OR count(o_orderkey) = 0 THEN 'with_warnings' ELSE 'ready' END AS readiness
 FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1""")
 def readiness_rollup(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").groupBy("o_custkey").agg(

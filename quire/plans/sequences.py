@@ -36,7 +36,7 @@ def rle_expand(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query("""WITH p AS (SELECT l_orderkey, l_suppkey % 3 AS mask, unnest(generate_series(l_linenumber, l_linenumber + CAST(l_quantity AS INTEGER) % 5 - 1)) AS pos FROM lineitem)
-SELECT l_orderkey, count(*) AS n_union, count_if(k > 1) AS n_overlapping FROM (SELECT l_orderkey, pos, count(DISTINCT mask) AS k FROM p GROUP BY 1, 2) GROUP BY 1""")
+SELECT l_orderkey, count(*) AS n_union, count(*) FILTER (k > 1) AS n_overlapping FROM (SELECT l_orderkey, pos, count(DISTINCT mask) AS k FROM p GROUP BY 1, 2) GROUP BY 1""")
 def overlap_and_union(spark: SparkSession, d: str) -> DataFrame:
     runs = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 3).alias("mask"), "l_linenumber", (F.col("l_quantity").cast("int") % 5).alias("n"))
     points = sequence.expand_runs(runs, "l_linenumber", "n", "pos").groupBy("l_orderkey", "pos").agg((F.min("mask") < F.max("mask")).alias("shared"))
@@ -63,7 +63,7 @@ def transition_validation(spark: SparkSession, d: str) -> DataFrame:
     return bad.groupBy(F.col("previous").alias("from_state"), F.col("event_type").alias("to_state")).agg(F.count("*").alias("n_bad"))
 
 
-@R.query("""SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_state, count_if(event_type = 'error') AS n_opened, arg_max(event_type, (ts, event_id)) = 'error' AS is_open FROM events GROUP BY 1""")
+@R.query("""SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_state, count(*) FILTER (event_type = 'error') AS n_opened, arg_max(event_type, (ts, event_id)) = 'error' AS is_open FROM events GROUP BY 1""")
 def issue_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     last = F.max_by("event_type", F.struct("ts", "event_id"))
     return _events(spark, d).groupBy("user_id").agg(last.alias("last_state"), F.count_if(F.col("event_type") == "error").alias("n_opened"), (last == "error").alias("is_open"))
@@ -116,7 +116,7 @@ def stale_propagation(spark: SparkSession, d: str) -> DataFrame:
     return held.select("page_cleaning_run_id", status.alias("status")).distinct()
 
 
-@R.query("""SELECT user_id, max(n) AS n_attempts, count_if(n > 3) AS n_over FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error') GROUP BY 1""")
+@R.query("""SELECT user_id, max(n) AS n_attempts, count(*) FILTER (n > 3) AS n_over FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error') GROUP BY 1""")
 def retry_budget(spark: SparkSession, d: str) -> DataFrame:
     tried = ledger.attempts(_events(spark, d).where("event_type = 'error'"), "user_id", ["ts", "event_id"], 3)
     return tried.groupBy("user_id").agg(F.max("attempt_number").alias("n_attempts"), F.count_if("over_budget").alias("n_over"))

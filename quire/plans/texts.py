@@ -48,7 +48,7 @@ def marker_classify(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "processing_artifacts").select("artifact_id", marker.alias("marker")).distinct()
 
 
-@R.query("""SELECT p_partkey, CASE WHEN p_name = f THEN 1.0 WHEN contains(p_name, f) OR contains(f, p_name) THEN 0.55 ELSE 0.0 END AS likeness, round(exp(-abs(ln(p_size::DOUBLE / s))), 6) AS size_score
+@R.query("""SELECT p_partkey, CASE WHEN p_name = f THEN 1.0 WHEN contains(p_name, f) OR contains(f, p_name) THEN 0.55 ELSE 0.0 END::DOUBLE AS likeness, round(exp(-abs(ln(p_size::DOUBLE / s))), 6) AS size_score
 FROM (SELECT p_partkey, p_size, lower(replace(p_name, ' ', '')) AS p_name, first_value(lower(replace(p_name, ' ', ''))) OVER w AS f, first_value(p_size) OVER w AS s FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey))""")
 def pair_score(spark: SparkSession, d: str) -> DataFrame:
     """Each part scored against the first of its brand."""
