@@ -117,12 +117,13 @@ def pack(items: pd.DataFrame, capacity: int, separate_sources: bool = False) ->
     return out
 
 
-def pack_items(items: DataFrame, budgets: DataFrame, items_per_shard: int = ITEMS_PER_SHARD, separate_sources: bool = False) -> DataFrame:
+def pack_items(items: DataFrame, budgets: DataFrame, items_per_shard: int = ITEMS_PER_SHARD, separate_sources: bool = False, n_items: int | None = None) -> DataFrame:
     """The place of every item in containers of every budget, columns of ``PLACE_SCHEMA``.
 
     ``items``: item_id, n_tokens, source, cluster (null: no known source, no copies). ``budgets``: budget_id,
     capacity_tokens; few by nature, more than ``MAX_BUDGETS`` are refused. Items delivered twice are placed once; items
-    of no tokens take a place of no length; null ids and capacities below 1 are left out. Empty tables give no rows.
+    of no tokens take a place of no length; ``n_items``, where the caller knows it, saves counting the items, which may
+    cost as much as making them; null ids and capacities below 1 are left out. Empty tables give no rows.
     """
     capacities = budgets.where((F.col("capacity_tokens") > 0) & F.col("budget_id").isNotNull()).select("budget_id", "capacity_tokens").distinct().limit(MAX_BUDGETS + 1).collect()
     if len(capacities) > MAX_BUDGETS:
@@ -130,7 +131,7 @@ def pack_items(items: DataFrame, budgets: DataFrame, items_per_shard: int = ITEM
     spark = items.sparkSession
     if not capacities:
         return spark.createDataFrame([], PLACE_SCHEMA)
-    shards = max(1, -(-items.count() // items_per_shard))
+    shards = max(1, -(-(items.count() if n_items is None else n_items) // items_per_shard))
     known = F.array(*[F.struct(F.lit(r["budget_id"]).cast("int").alias("budget_id"), F.lit(r["capacity_tokens"]).cast("long").alias("capacity")) for r in capacities])
     spread = (
         items.where(F.col("item_id").isNotNull())

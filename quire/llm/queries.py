@@ -92,7 +92,7 @@ FROM (SELECT DISTINCT timing_id, stage, CAST(recorded_at AS DATE) AS day, durati
 def _places(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     documents = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "source", packing.duplicate_cluster("text").alias("cluster"), "text")
     budgets = table(spark, d, "context_budgets")
-    return packing.pack_items(tokens.with_token_counts(documents, "text"), budgets), budgets
+    return packing.pack_items(tokens.with_token_counts(documents, "text"), budgets, n_items=documents.count()), budgets
 
 
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
