@@ -107,15 +107,16 @@ def find_orphans(
     gone_states: tuple[str, ...] = ("deleted",),
     parents_per_range: int = PARENTS_PER_RANGE,
     refs_per_task: int = REFS_PER_TASK,
+    n_parents: int | None = None,
 ) -> DataFrame:
     """Distinct bad references (``MISS_SCHEMA``): ``missing``, else ``deleted``, else ``late`` (parent created after the reference).
 
     ``refs`` as from ``reference_rows``, ``parents`` as from ``parent_rows``. A reference or parent without a time is never
-    late. ``period`` is the month of the reference, null without a time. Empty tables: no parents makes every reference
+    late. ``n_parents``, a bound on the number of parents that the caller knows cheaply, saves counting them. ``period`` is the month of the reference, null without a time. Empty tables: no parents makes every reference
     missing, no references gives no rows.
     """
     spark = refs.sparkSession
-    n_parents = parents.count()
+    n_parents = parents.count() if n_parents is None else n_parents
     n_ranges = min(MAX_RANGES, max(parallelism(spark), -(-n_parents // parents_per_range)))
     hashed = F.xxhash64("ref_key")
     range_of = F.shiftright(F.shiftrightunsigned("kh", 33) * F.lit(n_ranges), 31).cast("int")

@@ -83,9 +83,10 @@ def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sets = reference_rows(
         table(spark, d, "accepted_detection_evidence_sets"), "accepted_detection_evidence_sets", "detection_dependency_id", "manifest_artifact_id", "created_at"
     )
-    artifacts = parent_rows(table(spark, d, "processing_artifacts"), "artifact_id", "storage_state", "created_at", "updated_at")
+    artifacts = table(spark, d, "processing_artifacts")
+    parents = parent_rows(artifacts, "artifact_id", "storage_state", "created_at", "updated_at")
     refs = checks.unionByName(sets)
-    return refs, find_orphans(refs, artifacts)
+    return refs, find_orphans(refs, parents, n_parents=artifacts.count())  # rows, which the files' footers tell
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
