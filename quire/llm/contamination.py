@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.visual_text import CodePoints, fold_points, read_points
+from quire.llm.visual_text import CodePoints, fold_points, read_points, row_chunks
 
 SHARE = 0.4
 SEED_WORDS, SEED_CHARS = 3, 5
@@ -236,9 +236,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, blo
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             leaks = Leaks(held.value)
             for batch in batches:
-                step = 512  # rows scanned as one string
-                for lo in range(0, batch.num_rows, step):
-                    piece = batch.slice(lo, step)
+                for lo, n in row_chunks(batch.column("text")):  # rows scanned as one string
+                    piece = batch.slice(lo, n)
                     spans = leaks.spans(piece.column("text"), share)
                     if spans:
                         rows, *rest = zip(*spans)

@@ -226,7 +226,8 @@ def group_summaries(rows: DataFrame, keys: list[str], value: str, error: float =
     """One summary per key with a rank error of at most ``error * n``, also after ``spare_levels`` more merges of whole summaries.
 
     Groups of any size and skew: what meets in a task is at most ``FAN_IN`` summaries. Null keys are a group of their
-    own. An empty table gives no rows. Extra columns, whatever their names, are not read.
+    own. An empty table gives no rows. Extra columns, whatever their names, are not read; key columns may not be named as
+    the columns of a summary are.
     """
     slots = parallelism(rows.sparkSession)
     size = summary_size(levels_of(slots) + spare_levels, error)

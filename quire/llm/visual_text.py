@@ -13,6 +13,7 @@ Letters, case, accents, voicing marks, kana size and punctuation stay.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -37,6 +38,7 @@ LOOK_ALIKES = {
 INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0"
 WIDTH_TAGS = ("<wide>", "<narrow>")
 SHAPE_RANGES = ((0x2E80, 0x2FDF), (0xFB00, 0xFB06), (0x2160, 0x217F))  # CJK radicals, Latin ligatures, Roman numerals
+CHUNK_BYTES = 2_000_000
 VOICING = {0x309B: 0x3099, 0x309C: 0x309A}  # spacing forms of the voicing marks
 
 
@@ -174,10 +176,23 @@ def fold_points(text: CodePoints) -> CodePoints:
     return CodePoints(points, row, place)
 
 
+def row_chunks(texts: pa.Array, most_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of consecutive rows of about ``most_bytes``, so that the arrays of a step stay small; a longer text is a chunk of its own."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("int64")
+    part = np.cumsum(sizes) // most_bytes
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(sizes)]]) if len(sizes) else np.zeros(1, int)
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        yield lo, hi - lo
+
+
 def fold_array(texts: pa.Array) -> pa.Array:
     """Consistent form of an Arrow string array; null stays null."""
-    folded = fold_points(read_points(texts))
-    return write_points(folded.points, folded.row, texts.is_valid())
+    parts = []
+    for lo, n in row_chunks(texts):
+        piece = texts.slice(lo, n)
+        folded = fold_points(read_points(piece))
+        parts.append(write_points(folded.points, folded.row, piece.is_valid()))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 @F.arrow_udf(StringType())

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quire.llm.visual_text import consistent_form, fold_array, fold_points, read_points
+from quire.llm.visual_text import consistent_form, fold_array, fold_points, read_points, row_chunks
 
 SAME = [
     ("ｶﾞﾗｽの羅針盤", "ガラスの羅針盤"), ("が", "が"), ("Véa", "Véa"), ("Vеlka", "Velka"), ("A B", "A B"), ("口クスケ", "ロクスケ"),
@@ -54,3 +54,10 @@ def test_column(spark):
     got = {r["id"]: r["f"] for r in df.select("id", consistent_form("text").alias("f")).collect()}
     assert got == {1: None, 2: "", 3: "", 4: "ア" * 70000, 5: "x"}
     assert df.limit(0).select(consistent_form("text")).count() == 0
+
+
+def test_chunks_cover_all_rows():
+    texts = pa.array(["a" * 10, None, "", "b" * 95, "c" * 300, "d"])
+    spans = list(row_chunks(texts, 100))
+    assert [lo for lo, _ in spans] == [0, *[lo + n for lo, n in spans][:-1]] and sum(n for _, n in spans) == 6 and len(spans) > 1
+    assert list(row_chunks(texts.slice(0, 0))) == []
