@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FAMILIAR_WORDS = 600
-LIST_SIZES = (50, 100, 200, 300, 600, 1200, 3000)
+LIST_SIZES = (30, 50, 70, 100, 200, 300, 600, 1200, 3000)
 RATED_SAMPLE = 20_000
 LEAST_RATED = 40
 MIN_DOCUMENTS = 3
@@ -105,8 +105,20 @@ def difficulty(unfamiliar: float, sentence_length: float) -> float:
 def fit_weights(rows: list[dict]) -> dict[str, tuple[int, list[float]]]:
     """By language: the list size and the weights (constant, unfamiliar share, sentence length) that fit the ratings best.
 
-    Each size's weights are fitted on every other document and judged on the rest.
+    Each size's weights are fitted on every other document and judged on the rest. An unfamiliar word or a longer sentence
+    never makes a text easier: where least squares would have it so, that measure gets no weight.
     """
+
+    def weigh(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        used = [0, 1, 2]
+        while True:
+            own = np.zeros(3)
+            own[used] = np.linalg.lstsq(x[:, used], y, rcond=None)[0]
+            wrong = [k for k in used[1:] if own[k] < 0]
+            if not wrong:
+                return own
+            used.remove(min(wrong, key=lambda k: own[k] * x[:, k].std()))
+
     by: dict[str, list[dict]] = {}
     for r in sorted(rows, key=lambda r: r["doc_id"]):
         by.setdefault(r["lang"], []).append(r)
@@ -116,12 +128,12 @@ def fit_weights(rows: list[dict]) -> dict[str, tuple[int, list[float]]]:
             continue
         y = np.array([r["rating"] for r in held])
         best = None
-        for i, size in enumerate(LIST_SIZES):
+        for i, size in reversed(list(enumerate(LIST_SIZES))):  # of equally good lists the longest
             x = np.array([[1.0, r["shares"][i], r["sentence_length"]] for r in held])
-            own = np.linalg.lstsq(x[::2], y[::2], rcond=None)[0]
+            own = weigh(x[::2], y[::2])
             error = float(np.mean((x[1::2] @ own - y[1::2]) ** 2))
             if best is None or error < best[0] - 1e-9:
-                best = (error, size, np.linalg.lstsq(x, y, rcond=None)[0].tolist())
+                best = (error, size, weigh(x, y).tolist())
         out[lang] = best[1:]
     return out
 
