@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     before = None
     for _ in range(most_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(F.col("u").alias("x")).agg(F.least(F.min("v"), F.first("u")).alias("low"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("low"))
         large = both.where("v > u").join(low, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("low"))

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from quire.operators.sequence import HOT_ROWS, hot_keys, running_sum, with_previous
 
 
 def _side(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
@@ -106,9 +107,10 @@ def unseen(rows: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.join(known, [F.col(k) == F.col(f"done_{k}") for k in keys], "left_anti")
 
 
-def transitions(events: DataFrame, key: str, state: str, order: Sequence[str]) -> DataFrame:
+def transitions(events: DataFrame, key: str, state: str, order: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Events with the state before them as ``previous``, null for the first."""
-    return events.withColumn("previous", F.lag(state).over(Window.partitionBy(key).orderBy(*order)))
+    looked = with_previous(events, key, order, [state], hot_keys(events, key, hot_rows))
+    return looked.withColumn("previous", F.col("before")[state]).drop("before")
 
 
 def bad_transitions(events: DataFrame, key: str, state: str, order: Sequence[str], allowed: DataFrame) -> DataFrame:
@@ -118,7 +120,7 @@ def bad_transitions(events: DataFrame, key: str, state: str, order: Sequence[str
     )
 
 
-def attempts(rows: DataFrame, key: str, order: Sequence[str], budget: int) -> DataFrame:
+def attempts(rows: DataFrame, key: str, order: Sequence[str], budget: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows with their attempt number and whether it is past the budget."""
-    number = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return rows.withColumn("attempt_number", number).withColumn("over_budget", F.col("attempt_number") > budget)
+    numbered = running_sum(rows, key, order, F.lit(1), "attempt_number", hot_keys(rows, key, hot_rows))
+    return numbered.withColumn("over_budget", F.col("attempt_number") > budget)

@@ -10,13 +10,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.session import cut_lineage, parallelism
 
-def islands(rows: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
-    """Runs of equal values (null-safe) per key: ``key, run, value, length``; runs are numbered from 1."""
-    w = Window.partitionBy(key).orderBy(*order)
-    before = F.lag(F.struct(value)).over(w)
-    marked = rows.withColumn("is_start", (before.isNull() | ~F.col(value).eqNullSafe(before[value])).cast("int"))
-    numbered = marked.withColumn("run", F.sum("is_start").over(w))
+
+HOT_ROWS = 5_000_000
+
+
+def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """``q_hot``: keys with more than ``hot_rows`` rows, null if there are none. Counts combine before they are shuffled."""
+    hot = rows.groupBy(F.col(key).alias("q_hot")).agg(F.count("*").alias("q_n")).where(F.col("q_n") > hot_rows).select("q_hot")
+    return hot if hot.limit(1).count() else None
+
+
+def _split(rows: DataFrame, key: str, order: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary keys, and those of hot ones in chunks that follow each other in order (cut, so that they stay as they are)."""
+    same = F.col(key).eqNullSafe(F.col("q_hot"))
+    ranged = rows.join(hot, same, "left_semi").repartitionByRange(parallelism(rows.sparkSession), key, *order)
+    return rows.join(hot, same, "left_anti"), cut_lineage(ranged.withColumn("q_chunk", F.spark_partition_id()))
+
+
+def with_previous(rows: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], hot: DataFrame | None = None) -> DataFrame:
+    """Rows with ``before``, a struct of ``columns`` of the row before in the key, null for the first.
+
+    A hot key is no single window: each of its chunks looks back within itself and its first row takes the last row of
+    the chunk before.
+    """
+    look = F.lag(F.struct(*columns))
+    plain = lambda df: df.withColumn("before", look.over(Window.partitionBy(key).orderBy(*order)))
+    if hot is None:
+        return plain(rows)
+    ordinary, chunks = _split(rows, key, order, hot)
+    ends = chunks.groupBy(F.col(key).alias("q_end_key"), F.col("q_chunk").alias("q_end_chunk")).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("q_last"))
+    carried = ends.withColumn("q_carried", F.lag("q_last").over(Window.partitionBy("q_end_key").orderBy("q_end_chunk"))).drop("q_last")
+    local = chunks.withColumn("before", look.over(Window.partitionBy(key, "q_chunk").orderBy(*order)))
+    joined = local.join(carried, F.col(key).eqNullSafe(F.col("q_end_key")) & (F.col("q_chunk") == F.col("q_end_chunk")))
+    return plain(ordinary).unionByName(joined.select(*rows.columns, F.coalesce("before", "q_carried").alias("before")))
+
+
+def running_sum(rows: DataFrame, key: str, order: Sequence[str], value: F.Column, name: str, hot: DataFrame | None = None) -> DataFrame:
+    """Rows with the sum of ``value`` up to and with each row of its key; chunks of a hot key add the totals before them."""
+    frame = lambda *by: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    if hot is None:
+        return rows.withColumn(name, F.sum(value).over(frame(key)))
+    ordinary, chunks = _split(rows, key, order, hot)
+    totals = chunks.groupBy(F.col(key).alias("q_end_key"), F.col("q_chunk").alias("q_end_chunk")).agg(F.sum(value).alias("q_total"))
+    upto = Window.partitionBy("q_end_key").orderBy("q_end_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.withColumn("q_carried", F.coalesce(F.sum("q_total").over(upto), F.lit(0)))
+    joined = chunks.withColumn(name, F.sum(value).over(frame(key, "q_chunk"))).join(carried, F.col(key).eqNullSafe(F.col("q_end_key")) & (F.col("q_chunk") == F.col("q_end_chunk")))
+    summed = joined.select(*rows.columns, (F.col(name) + F.col("q_carried")).alias(name))
+    return ordinary.withColumn(name, F.sum(value).over(frame(key))).unionByName(summed)
+
+
+def islands(rows: DataFrame, key: str, order: Sequence[str], value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Runs of equal values (null-safe) per key: ``key, run, value, length``; runs are numbered from 1. ``order`` must settle ties."""
+    hot = hot_keys(rows, key, hot_rows)
+    looked = with_previous(rows, key, order, [value], hot)
+    starts = (F.col("before").isNull() | ~F.col(value).eqNullSafe(F.col("before")[value])).cast("int")
+    numbered = running_sum(looked.withColumn("is_start", starts).drop("before"), key, order, F.col("is_start"), "run", hot)
     return numbered.groupBy(key, "run", value).agg(F.count("*").alias("length"))
 
 
@@ -25,11 +75,13 @@ def expand_runs(runs: DataFrame, start: str, length: str, name: str) -> DataFram
     return runs.where(F.col(length) > 0).withColumn(name, F.explode(F.sequence(F.col(start), F.col(start) + F.col(length) - 1)))
 
 
-def sessions(rows: DataFrame, key: str, time: str, gap_seconds: int, order: Sequence[str] = ()) -> DataFrame:
-    """Rows with ``session``, which goes up where more than ``gap_seconds`` pass since the row before."""
-    w = Window.partitionBy(key).orderBy(time, *order)
-    waited = F.unix_micros(F.col(time).cast("timestamp_ltz")) - F.unix_micros(F.lag(time).over(w).cast("timestamp_ltz"))
-    return rows.withColumn("session", F.sum((F.coalesce(waited, F.lit(gap_seconds * 1_000_000 + 1)) > gap_seconds * 1_000_000).cast("int")).over(w))
+def sessions(rows: DataFrame, key: str, time: str, gap_seconds: int, order: Sequence[str] = (), hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Rows with ``session``, which goes up where more than ``gap_seconds`` pass since the row before. ``order`` settles ties of time."""
+    hot = hot_keys(rows, key, hot_rows)
+    looked = with_previous(rows, key, [time, *order], [time], hot)
+    waited = F.unix_micros(F.col(time).cast("timestamp_ltz")) - F.unix_micros(F.col("before")[time].cast("timestamp_ltz"))
+    opens = (F.coalesce(waited, F.lit(gap_seconds * 1_000_000 + 1)) > gap_seconds * 1_000_000).cast("int")
+    return running_sum(looked.withColumn("opens", opens).drop("before"), key, [time, *order], F.col("opens"), "session", hot).drop("opens")
 
 
 def first_where(rows: DataFrame, key: str, order: Sequence[str], condition: F.Column, value: str, otherwise: str) -> DataFrame:

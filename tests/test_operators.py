@@ -160,6 +160,23 @@ def test_sequences(spark):
     assert rows(first) == [("x", "none"), ("y", "none")]
 
 
+def test_hot_keys_give_the_same_rows(spark):
+    events = [(rng.choice(["h", "h", "h", "a", None]), i, rng.choice(["x", "y", None]), rng.randrange(3)) for i in range(400)]
+    df = spark.createDataFrame([(*e, "clash") for e in events], "k string, i int, v string, n int, last string")
+    hot = sequence.hot_keys(df, "k", 100)
+    assert rows(hot) == [("h",)] and sequence.hot_keys(df, "k", 1000) is None
+    for a, b in (
+        (sequence.with_previous(df, "k", ["i"], ["v", "n"]), sequence.with_previous(df, "k", ["i"], ["v", "n"], hot)),
+        (sequence.running_sum(df, "k", ["i"], F.col("n"), "s"), sequence.running_sum(df, "k", ["i"], F.col("n"), "s", hot)),
+        (sequence.islands(df, "k", ["i"], "v"), sequence.islands(df, "k", ["i"], "v", hot_rows=50)),
+        (ledger.attempts(df, "k", ["i"], 5), ledger.attempts(df, "k", ["i"], 5, hot_rows=50)),
+        (ledger.transitions(df, "k", "v", ["i"]), ledger.transitions(df, "k", "v", ["i"], hot_rows=50)),
+    ):
+        assert rows(a) == rows(b)
+    timed = df.select("k", "i", F.timestamp_seconds(F.col("i") * F.col("i")).alias("t"))
+    assert rows(sequence.sessions(timed, "k", "t", 600)) == rows(sequence.sessions(timed, "k", "t", 600, hot_rows=50))
+
+
 def test_alignment_and_segments():
     assert sequence.monotonic_alignment(np.array([[0.1, 0.9, 0.0], [0.0, 0.2, 0.8]])) == [(None, 0), (0, 1), (1, 2)]
     assert sequence.monotonic_alignment(np.zeros((0, 2))) == [(None, 0), (None, 1)]
