@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.functions.geometry import Box, orientation
 from quire.operators import graph, pairs
@@ -170,3 +171,16 @@ def hamming_near_dup(spark: SparkSession, d: str) -> DataFrame:
     first = reduce(lambda acc, i: F.when(F.col("ab")[i] == F.col("bb")[i], i).otherwise(acc), range(7, -1, -1), F.lit(-1))
     far = F.bit_count(F.col("ah").bitwiseXOR(F.col("bh"))) + F.bit_count(F.col("al").bitwiseXOR(F.col("bl")))
     return met.where(F.col("band") == first).select("a_id", "b_id", far.alias("distance")).where("distance <= 7")
+
+
+@R.query(f"""WITH RECURSIVE {_REGIONS}, e AS (SELECT a.id AS u, b.id AS v FROM r a JOIN r b ON a.page = b.page AND a.id <> b.id WHERE {_GAP} <= 900),
+t(node, seen) AS (SELECT id, id FROM r UNION SELECT t.node, e.v FROM t JOIN e ON t.seen = e.u), c AS (SELECT node, min(seen) AS component FROM t GROUP BY 1),
+g AS (SELECT page, component, min(y) AS y, min(x) AS x, min(id) AS id, count(*) AS n_members FROM r JOIN c ON r.id = c.node GROUP BY 1, 2)
+SELECT page, component, 'g' || lpad((row_number() OVER (PARTITION BY page ORDER BY y, x, id))::VARCHAR, 3, '0') AS label, n_members FROM g""")
+def component_numbering(spark: SparkSession, d: str) -> DataFrame:
+    """Components of a page's near regions, alone standing ones included, numbered from the top."""
+    boxes = regions(spark, d)
+    joined = boxes.join(graph.connected_components(pairs.near_pairs(boxes, 30), "a_id", "b_id"), F.col("id") == F.col("node"), "left")
+    groups = joined.groupBy("page", F.coalesce("component", "id").alias("component")).agg(F.min("y").alias("y"), F.min("x").alias("x"), F.min("id").alias("id"), F.count("*").alias("n_members"))
+    place = F.row_number().over(Window.partitionBy("page").orderBy("y", "x", "id"))
+    return groups.select("page", "component", F.format_string("g%03d", place).alias("label"), "n_members")
