@@ -161,7 +161,7 @@ def reading_levels(documents: DataFrame, ratings: DataFrame | None = None, rated
     context = documents.sparkSession.sparkContext
     places = context.broadcast(known)
     texts = documents.select("doc_id", "text", "lang")
-    far = max(LIST_SIZES) + 1
+    far, sizes = max(LIST_SIZES) + 1, np.array(LIST_SIZES)
 
     def counts(text: str | None, lang: str | None) -> tuple[str, int, int, np.ndarray | None]:
         """Language, words, sentences and the unfamiliar share under each list size."""
@@ -169,13 +169,13 @@ def reading_levels(documents: DataFrame, ratings: DataFrame | None = None, rated
         if not found:
             return own, 0, 0, None
         place = places.value.get(own, {})
-        at = np.array([place.get(w, far) for w in found])
-        return own, len(found), count_sentences(text), np.array([(at > size).mean() for size in LIST_SIZES])
+        per = np.bincount(np.searchsorted(sizes, [place.get(w, far) for w in found]), minlength=len(LIST_SIZES) + 1)
+        return own, len(found), count_sentences(text), 1 - np.cumsum(per[:-1]) / len(found)
 
     weights: dict[str, tuple[int, list[float]]] = {}
     if ratings is not None:
         chosen = mean_ratings(ratings).orderBy(F.xxhash64("rated"), "rated").limit(rated_sample)
-        rated = texts.join(chosen, F.col("doc_id") == F.col("rated")).select("doc_id", "text", "lang", "rating")
+        rated = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("rated")).select("doc_id", "text", "lang", "rating")
 
         def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
