@@ -73,7 +73,7 @@ def p5_rank_check(spark: SparkSession, d: str) -> DataFrame:
     """Whether the exact ranks of each stage's percentiles over all days lie within the stated error, and that within 0.1 %."""
     rows = _timings(spark, d).where(F.col("duration_ms").isNotNull())
     got = _percentiles(rows).where(F.col("scope") == "all").select(F.col("stage").alias("s"), "n", "rank_error", *SHARES)
-    joined = rows.select("stage", "duration_ms").join(F.broadcast(got.limit(10_000)), F.col("stage").eqNullSafe(F.col("s")))  # a row a stage
+    joined = rows.select("stage", "duration_ms").join(got, F.col("stage").eqNullSafe(F.col("s")))
     below = [F.count_if(F.col("duration_ms") < F.col(q)).alias(f"b_{q}") for q in SHARES]
     upto = [F.count_if(F.col("duration_ms") <= F.col(q)).alias(f"u_{q}") for q in SHARES]
     ranks = joined.groupBy("stage", "n", "rank_error").agg(*below, *upto)
