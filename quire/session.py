@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +39,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers where they would not find it themselves: neither the working directory nor PYTHONPATH names it."""
+    root = Path(__file__).resolve().parent.parent
+    named = [Path(p or ".").resolve() for p in ["", *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]
+    context = spark.sparkContext
+    if root not in named and not any(str(f).endswith("/quire.zip") for f in context.listFiles):
+        folder = tempfile.mkdtemp(prefix="quire-package-")  # on the driver, which serves it to the executors
+        context.addPyFile(shutil.make_archive(f"{folder}/quire", "zip", root, "quire"))
+
+
 def parallelism(spark: SparkSession) -> int:
     """Number of shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
