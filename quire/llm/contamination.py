@@ -29,8 +29,11 @@ HOLE_WORDS, HOLE_CHARS = 5, 8
 DRIFT = 12
 CHANGED = 0.15
 BLOCK_CHARS = 20_000_000
-ANSWER_CHARS = 12
+#: A question or answer of fewer letters and digits counts only where it stands as words of its own.
+SHORT_CHARS = 12
 UNSPACED = ("ja", "zh")
+#: Scripts that put no spaces between words: Thai and Lao, Burmese, Khmer, kana and Chinese characters.
+UNSPACED_RANGES = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3005, 0x3008), (0x3040, 0x3100), (0x31F0, 0x3200), (0x3400, 0xA000), (0xF900, 0xFB00), (0x20000, 0x30000))
 SPAN_SCHEMA = "doc_id long, item_id long, part string, start long, stop long, share double"
 
 
@@ -49,10 +52,21 @@ def _plain_tables() -> tuple[np.ndarray, np.ndarray]:
 
 def plain_points(texts: pa.Array) -> CodePoints:
     """Letters, marks and digits of each text in one form and lower case, with their places in the original."""
+    return _plain_words(texts)[0]
+
+
+def _plain_words(texts: pa.Array) -> tuple[CodePoints, np.ndarray]:
+    """``plain_points`` and which of them go on with the word of the point before; scripts without spaces have no such points."""
     folded = fold_points(read_points(texts))
     lower, kept = _plain_tables()
-    keep = kept[folded.points]
-    return CodePoints(lower[folded.points[keep]], folded.row[keep], folded.place[keep])
+    at = np.flatnonzero(kept[folded.points])
+    text = CodePoints(lower[folded.points[at]], folded.row[at], folded.place[at])
+    spaced = np.ones(len(at), bool)
+    for lo, hi in UNSPACED_RANGES:
+        spaced &= (text.points < lo) | (text.points >= hi)
+    inside = np.zeros(len(at), bool)
+    inside[1:] = (np.diff(at) == 1) & (text.row[1:] == text.row[:-1]) & spaced[1:] & spaced[:-1]
+    return text, inside
 
 
 def _decoded(points: np.ndarray) -> str:
@@ -63,14 +77,14 @@ def seed_patterns(items: list[tuple]) -> list[tuple[str, int, str, int, int]]:
     """(pattern, item, part, first unit, unit count) of items ``(item_id, lang, passage, question, answer)``.
 
     A unit is a word, or a character where ``lang`` writes without spaces (an item without ``lang``: by its spaces).
-    A passage of fewer units than a seed is one pattern. Null and empty parts have none; short answers, which occur as
-    words everywhere, have none either.
+    A passage of fewer units than a seed is one pattern, and so is every question and answer however short. Null and
+    empty parts have none.
     """
     out = []
     for item_id, lang, passage, question, answer in items:
         for part, text in (("question", question), ("answer", answer)):
             whole = _decoded(plain_points(pa.array([text or ""])).points)
-            if len(whole) >= ANSWER_CHARS:
+            if whole:
                 out.append((whole, item_id, part, 0, 1))
         units, _ = passage_units(passage, lang)
         k = SEED_CHARS if _unspaced(passage, lang) else SEED_WORDS
@@ -120,7 +134,7 @@ class Leaks:
         """(row, item, part, start, stop, share) of the leaks in a batch of texts; offsets are of the original, stop excluded."""
         if self.empty or not len(texts):
             return []
-        text = plain_points(texts)
+        text, inside = _plain_words(texts)
         n = len(texts)
         ends = np.cumsum(np.bincount(text.row, minlength=n)) + np.arange(1, n + 1)  # a break, which no pattern holds, follows each row
         spread = np.zeros(len(text.points) + n, "uint32")
@@ -137,7 +151,10 @@ class Leaks:
         found: dict[tuple, list] = defaultdict(list)
         for (end, size), row, wheres in zip(hits, rows.tolist(), hits.values()):
             for item_id, part, first, count in wheres:
-                found[(row, item_id, part)].append((end - size + 1, end + 1, first, first + count))
+                start, stop = end - size + 1, end + 1
+                if part != "passage" and size < SHORT_CHARS and (inside[start - row] or stop - row < len(inside) and inside[stop - row]):
+                    continue
+                found[(row, item_id, part)].append((start, stop, first, first + count))
         out = []
         for (row, item_id, part), seeds in found.items():
             runs = [(s, e, 1.0) for s, e, _, _ in seeds] if part != "passage" else self._chains(item_id, sorted(seeds), share, whole)
@@ -224,7 +241,8 @@ def item_blocks(items: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[li
 def find_leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Every stretch of an item's passage (``share`` of it at least), question or answer in ``documents(doc_id, text)``.
 
-    Columns of ``SPAN_SCHEMA``. Null and empty texts hold nothing; a document delivered twice is listed once; items
+    Columns of ``SPAN_SCHEMA``. A question or answer of fewer than ``SHORT_CHARS`` letters and digits is listed wherever it
+    stands as words of its own, and at every place in scripts without spaces. Null and empty texts hold nothing; a document delivered twice is listed once; items
     without a passage match by question and answer only. Texts are scanned whole, once a block of items.
     """
     context = documents.sparkSession.sparkContext

@@ -44,3 +44,14 @@ def test_blocks_agree_with_one_automaton(spark):
 def test_empty_tables(spark, docs, items):
     df = spark.createDataFrame([(1, EN, "")] * docs, DOC)
     assert find_leaks(df, spark.createDataFrame(ITEMS[:items], ITEM)).count() == 0
+
+
+def test_short_answers_are_listed_as_words(spark):
+    items = [(1, "s", "en", EN, None, "Lin"), (2, "s", "ja", JA, "誰?", "ヤタモ"), (3, "s", "en", None, None, "7"), (4, "s", "en", "", "", "..."), (5, "s", "en", None, None, "Mo Li")]
+    docs = [(1, "Then LIN; linen, Berlin and lin"), (2, "昔ヤタモは誰"), (3, "17 or 7"), (4, "Linヤタモ"), (5, "mo-li, mo linen"), (6, "li\u0301n l\u200bin"), (7, None), (8, "")]
+    df = spark.createDataFrame([(i, t, "") for i, t in docs], DOC)
+    got = {(r["doc_id"], r["item_id"], r["part"], r["start"], r["stop"]) for r in find_leaks(df, spark.createDataFrame(items, ITEM)).collect()}
+    assert got == {
+        (1, 1, "answer", 5, 8), (1, 1, "answer", 28, 31), (2, 2, "answer", 1, 4), (2, 2, "question", 5, 6), (3, 3, "answer", 6, 7),
+        (4, 1, "answer", 0, 3), (4, 2, "answer", 3, 6), (5, 5, "answer", 0, 5), (6, 1, "answer", 5, 9),
+    }
