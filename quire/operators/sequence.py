@@ -185,3 +185,67 @@ def greedy_distinct(signatures: Sequence[int], limit: int) -> list[int]:
         if all((s ^ signatures[k]).bit_count() > limit for k in kept):
             kept.append(i)
     return kept
+
+
+CHUNK_ROWS = 16_384
+
+
+def _near_in_chunks(g: pd.DataFrame, limit: int, slice_rows: int = 256) -> Iterator[pd.DataFrame]:
+    """``lo, hi``: nodes of a pair of chunks (one with itself, or one with the other) whose bits differ in at most ``limit`` places."""
+    g = g.sort_values("node")
+    a, b = (g[g["chunk"] == g[side].iloc[0]] for side in ("first", "second"))
+    one, two = (x["bits"].to_numpy("int64").view("uint64") for x in (a, b))
+    left, right = a["node"].to_numpy(), b["node"].to_numpy()
+    for at in range(0, len(one), slice_rows):
+        i, j = np.nonzero(np.bitwise_count(one[at : at + slice_rows, None] ^ two[None, :]) <= limit)
+        x, y = left[at + i], right[j]
+        keep = x < y if g["first"].iloc[0] == g["second"].iloc[0] else np.ones(len(x), bool)
+        x, y = x[keep], y[keep]
+        if len(x):
+            swap = x > y
+            yield pd.DataFrame({"lo": np.where(swap, y, x), "hi": np.where(swap, x, y)})
+
+
+def hamming_pairs(nodes: DataFrame, key: str, limit: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``lo, hi`` (``lo < hi``) of all ``nodes(node string, key, bits long)`` of a key whose bits differ in at most ``limit`` of 64 places.
+
+    Exact for any limit: a key's nodes are cut into chunks and every two chunks are compared in a task of their own, so a
+    hot key is no single task. With a limit of a quarter of the bits, bands that must agree have 3 or 4 bits and would
+    spare nothing. A null key is a key; nodes without bits pair with none.
+    """
+    rows = nodes.where(F.col("bits").isNotNull()).select("node", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("k"), "bits")
+    sizes = rows.groupBy(F.col("k").alias("k2")).agg(F.ceil(F.count("*") / F.lit(chunk_rows)).cast("int").alias("n"))
+    chunks = rows.join(sizes, F.col("k") == F.col("k2")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    met = chunks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    met = met.select("node", "bits", "chunk", F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second"), "k")
+    met = met.withColumn("pair", F.concat_ws(":", "first", "second", "k"))
+
+    def body(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([pd.DataFrame({"lo": [], "hi": []}, dtype="object"), *_near_in_chunks(g, limit)])
+
+    return by_group(met, "pair", body, "lo string, hi string")
+
+
+def greedy_dropped(pairs: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """``node``: those dropped when nodes are taken in ascending order and each is dropped that pairs with an earlier kept one.
+
+    A round keeps the nodes with no undecided earlier partner and drops their later partners; in hash order the rounds
+    are logarithmic in number. More than ``most_rounds`` rounds raise.
+    """
+    left = cut_lineage(pairs.select("lo", "hi").distinct())
+    parts = []
+    for _ in range(most_rounds):
+        if left.isEmpty():
+            break
+        later = left.select(F.col("hi").alias("x")).distinct()
+        dropped = cut_lineage(left.join(later, F.col("lo") == F.col("x"), "left_anti").select(F.col("hi").alias("node")).distinct())
+        parts.append(dropped)
+        for side in ("lo", "hi"):
+            left = left.join(dropped, F.col(side) == F.col("node"), "left_anti")
+        left = cut_lineage(left)
+    else:
+        raise RuntimeError(f"undecided pairs after {most_rounds} rounds")
+    out = left.select(F.col("lo").alias("node"))
+    for p in parts:
+        out = out.unionByName(p)
+    return out

@@ -185,17 +185,28 @@ def greedy_nms(spark: SparkSession, d: str) -> DataFrame:
     return sequence.by_group(_boxes(spark, d).withColumn("order", F.sha2("id", 256)), "page", body, "page string, id string")
 
 
-@R.query()
-def greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors of a label and leading bits kept in stable hash order when each is dropped that is near an earlier kept one."""
-    rows = table(spark, d, "embeddings").select("vec_id", "label", *signature_words()).withColumn("block", F.concat_ws(":", "label", F.shiftright("high", 28)))
+def distinct_vectors(rows: DataFrame, limit: int, chunk_rows: int = sequence.CHUNK_ROWS) -> DataFrame:
+    """``label, vec_id`` of ``rows(vec_id, label, high, low)`` kept in stable hash order within a label when each is dropped
+    whose signature is at most ``limit`` bits from an earlier kept one.
+
+    Vectors of one signature stand under their first, which decides for all; a null label is a label, and vectors without
+    a signature are all kept.
+    """
+    order = F.concat(F.sha2(F.col("vec_id").cast("string"), 256), F.lpad(F.hex("high"), 8, "0"), F.lpad(F.hex("low"), 8, "0"))
+    whole = F.col("high").isNotNull() & F.col("low").isNotNull()
+    node = F.concat(order, F.lit("="), F.coalesce(F.col("label").cast("string"), F.lit("")), F.when(F.col("label").isNull(), "?").otherwise(""))
+    bits = F.shiftleft("high", 32).bitwiseOR(F.col("low"))
+    classes = rows.where(whole).groupBy("label", "high", "low").agg(F.min(F.struct(order.alias("o"), "vec_id"))["vec_id"].alias("vec_id"))
+    nodes = classes.select("label", "vec_id", node.alias("node"), bits.alias("bits"))
+    dropped = sequence.greedy_dropped(sequence.hamming_pairs(nodes, "label", limit, chunk_rows)).withColumnRenamed("node", "gone")
+    kept = nodes.join(dropped, F.col("node") == F.col("gone"), "left_anti").select("label", "vec_id")
+    return kept.unionByName(rows.where(~whole).select("label", "vec_id"))
 
-    def body(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["order", "vec_id"])
-        kept = sequence.greedy_distinct([(int(a) << 32) | int(b) for a, b in zip(g["high"], g["low"])], 16)
-        return g.iloc[kept][["block", "vec_id"]]
 
-    return sequence.by_group(rows.withColumn("order", F.sha2(F.col("vec_id").cast("string"), 256)), "block", body, "block string, vec_id long")
+@R.query()
+def greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of a label kept in stable hash order when each is dropped whose signature is at most 16 bits from an earlier kept one."""
+    return distinct_vectors(table(spark, d, "embeddings").select("vec_id", "label", *signature_words()), 16)
 
 
 @R.query()
