@@ -29,6 +29,24 @@ def cer(spark: SparkSession, d: str) -> DataFrame:
     return reads.join(expected, F.col("asset_id") == F.col("page")).select("fragment_id", F.round(text.error_rate(F.col("expected"), F.col("ocr_text")), 6).alias("cer")).distinct()
 
 
+def error_rates(fragments: DataFrame, regions: DataFrame) -> DataFrame:
+    """``fragment_id, cer`` of every reading of a page against the page's first region with an expected text.
+
+    Lengths and distances count code points. A reading without text counts as empty; pages without an expected text give
+    no rows; rows delivered again count once.
+    """
+    first = F.min(F.struct("region_id", "expected"))
+    expected = regions.where(F.col("expected").isNotNull()).groupBy(F.col("asset_id").alias("page")).agg(first["expected"].alias("expected"))
+    reads = fragments.select("fragment_id", "asset_id", "ocr_text").distinct()
+    return reads.join(expected, F.col("asset_id") == F.col("page")).select("fragment_id", F.round(text.error_rate(F.col("expected"), F.col("ocr_text")), 6).alias("cer")).distinct()
+
+
+@R.query()
+def cer_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``cer`` over the readings and regions of every script; no SQL, since DuckDB's distance counts bytes."""
+    return error_rates(table(spark, d, "fragments"), table(spark, d, "evaluation_regions"))
+
+
 @R.query("""SELECT DISTINCT translation_id, CASE WHEN regexp_matches(content, '^\\s*```(json)?\\s*(.*?)\\s*```\\s*$', 'si') THEN length(regexp_extract(content, '^\\s*```(json)?\\s*(.*?)\\s*```\\s*$', 2, 'si')) ELSE length(content) END AS n_inside FROM translations""")
 def fence_strip(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "translations").select("translation_id", F.length(text.unfenced(F.col("content"))).alias("n_inside")).distinct()

@@ -4,7 +4,7 @@ import hashlib
 import random
 
 from quire.operators import sequence
-from quire.plans import sequences
+from quire.plans import sequences, texts
 
 rng = random.Random(11)
 
@@ -30,3 +30,21 @@ def test_distinct_vectors_agree_with_brute_force(spark):
     for chunk_rows in (7, 10_000):
         assert rows(sequences.distinct_vectors(df, 16, chunk_rows)) == sorted(want, key=repr)
     assert rows(sequences.distinct_vectors(df.limit(0), 16)) == []
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_error_rates_of_all_scripts(spark):
+    regions = [("p", "r2", "plain"), ("p", "r1", "猫が鳴く𠮷"), ("q", "r1", None), ("q", "r3", "¿Qué año?"), ("e", "r1", ""), ("n", "r1", None)]
+    reads = [("a", "p", "猫か鳴く𠮷"), ("b", "p", "cat"), ("c", "p", None), ("d", "p", ""), ("e", "q", "Que ano"), ("f", "q", "¿Qué año?"), ("g", "e", "é"), ("h", "e", None), ("i", "n", "x"), ("a", "p", "猫か鳴く𠮷")]
+    first = {"p": "猫が鳴く𠮷", "q": "¿Qué año?", "e": ""}
+    want = {(f, round(distance(first[p], t or "") / len(first[p]), 6) if first[p] else float(bool(t))) for f, p, t in reads if p in first}
+    got = texts.error_rates(spark.createDataFrame(reads, "fragment_id string, asset_id string, ocr_text string"), spark.createDataFrame(regions, "asset_id string, region_id string, expected string"))
+    assert rows(got) == sorted(want, key=repr)
