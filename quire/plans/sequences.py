@@ -91,6 +91,20 @@ def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     return ledger.upsert_latest(base, changes, ["c_custkey"], "at").select("c_custkey", "label")
 
 
+def upserted(customers: DataFrame, orders: DataFrame) -> DataFrame:
+    """``c_custkey, label``: every customer's segment or, where there are orders of that key, the priority of the last one."""
+    base = customers.select("c_custkey", F.lit(0).cast("long").alias("at"), F.col("c_mktsegment").alias("label"))
+    changes = orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("at"), F.col("o_orderpriority").alias("label"))
+    return ledger.upsert_latest(base, changes, ["c_custkey"], "at").select("c_custkey", "label")
+
+
+@R.query("""SELECT coalesce(c_custkey, k) AS c_custkey, CASE WHEN k IS NULL THEN c_mktsegment ELSE p END AS label
+FROM customer FULL JOIN (SELECT o_custkey AS k, arg_max(o_orderpriority, o_orderkey) AS p FROM orders GROUP BY 1) ON c_custkey = k""")
+def upsert_latest_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All orders upserted into all customers."""
+    return upserted(table(spark, d, "customer"), table(spark, d, "orders"))
+
+
 @R.query("""SELECT i.artifact_id, CASE WHEN b.artifact_id IS NULL THEN 'inserted' WHEN i.storage_state IS NOT DISTINCT FROM b.s THEN 'same' ELSE 'mismatch' END AS outcome
 FROM (SELECT DISTINCT artifact_id, storage_state FROM processing_artifacts WHERE updated_at >= TIMESTAMP '2025-06-01') i LEFT JOIN (SELECT artifact_id, arg_max(storage_state, updated_at) AS s FROM processing_artifacts WHERE updated_at < TIMESTAMP '2025-06-01' GROUP BY 1) b USING (artifact_id)""")
 def insert_or_verify(spark: SparkSession, d: str) -> DataFrame:

@@ -48,3 +48,10 @@ def test_error_rates_of_all_scripts(spark):
     want = {(f, round(distance(first[p], t or "") / len(first[p]), 6) if first[p] else float(bool(t))) for f, p, t in reads if p in first}
     got = texts.error_rates(spark.createDataFrame(reads, "fragment_id string, asset_id string, ocr_text string"), spark.createDataFrame(regions, "asset_id string, region_id string, expected string"))
     assert rows(got) == sorted(want, key=repr)
+
+
+def test_every_order_is_upserted(spark):
+    customers = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C"), (4, "D")], "c_custkey long, c_mktsegment string")
+    orders = spark.createDataFrame([(1, 1, "low"), (1, 7, "high"), (2, 5, "old"), (2, 6, "new"), (9, 3, "first"), (9, 4, "last")], "o_custkey long, o_orderkey long, o_orderpriority string")
+    assert rows(sequences.upserted(customers, orders)) == [(1, "high"), (2, "new"), (3, "C"), (4, "D"), (9, "last")]
+    assert rows(sequences.upserted(customers, orders.limit(0))) == [(1, "A"), (2, "B"), (3, "C"), (4, "D")]
