@@ -47,6 +47,18 @@ def ordered_children(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").where("l_shipdate >= timestamp_ntz '1998-01-01'").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", place.alias("place"))
 
 
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """Lines of each order with their ``place`` among all of its lines."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    return lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", place.alias("place"))
+
+
+@R.query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place FROM lineitem""")
+def ordered_children_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``ordered_children`` over the lines of every date."""
+    return numbered_lines(table(spark, d, "lineitem"))
+
+
 @R.query("""SELECT n_regionkey, sha256(concat_ws(':', count(*)::VARCHAR, sum(('0x' || substr(h, 1, 8))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 9, 8))::BIGINT)::VARCHAR,
   sum(('0x' || substr(h, 17, 8))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 25, 8))::BIGINT)::VARCHAR)) AS fingerprint
 FROM (SELECT n_regionkey, sha256(n_nationkey::VARCHAR || '=' || n_name) AS h FROM nation) GROUP BY n_regionkey""")
@@ -73,6 +85,20 @@ def regex_form_parse(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("doc_id", (F.col("i") + 1).alias("line_no"), F.regexp_extract("l", pattern, 1).alias("label"), F.length(F.regexp_extract("l", pattern, 2)).alias("n_value"))
 
 
+def label_lines(docs: DataFrame) -> DataFrame:
+    """``doc_id, line_no, label, n_value`` of every ``Label: value`` line; only a line feed ends a line. A null text has no lines."""
+    pattern = r"(?d)^([A-Za-z][A-Za-z-]{1,20}): (.+)$"
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "l")).where(F.col("l").rlike(pattern))
+    return lines.select("doc_id", (F.col("i") + 1).alias("line_no"), F.regexp_extract("l", pattern, 1).alias("label"), F.length(F.regexp_extract("l", pattern, 2)).alias("n_value"))
+
+
+@R.query("""SELECT doc_id, i AS line_no, regexp_extract(l, '^([A-Za-z][A-Za-z-]{1,20}): (.+)$', 1) AS label, length(regexp_extract(l, '^([A-Za-z][A-Za-z-]{1,20}): (.+)$', 2)) AS n_value
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE regexp_matches(l, '^([A-Za-z][A-Za-z-]{1,20}): (.+)$')""")
+def regex_form_parse_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``regex_form_parse`` over the documents of every language and source."""
+    return label_lines(table(spark, d, "documents"))
+
+
 @R.query("""WITH latest AS (SELECT artifact_id, arg_max(file_hash, updated_at) AS h, arg_max(storage_state, updated_at) AS s FROM processing_artifacts GROUP BY 1)
 SELECT DISTINCT check_result_id, CASE WHEN evidence_artifact_id IS NULL OR evidence_artifact_id = '' THEN 'unreferenced' WHEN a.artifact_id IS NULL THEN 'missing'
   WHEN s <> 'present' THEN 'not_present' WHEN h IS DISTINCT FROM evidence_artifact_sha256 THEN 'hash_mismatch' ELSE 'valid' END AS integrity

@@ -4,7 +4,7 @@ import hashlib
 import random
 
 from quire.operators import sequence
-from quire.plans import sequences, texts
+from quire.plans import relational, sequences, texts
 
 rng = random.Random(11)
 
@@ -55,3 +55,16 @@ def test_every_order_is_upserted(spark):
     orders = spark.createDataFrame([(1, 1, "low"), (1, 7, "high"), (2, 5, "old"), (2, 6, "new"), (9, 3, "first"), (9, 4, "last")], "o_custkey long, o_orderkey long, o_orderpriority string")
     assert rows(sequences.upserted(customers, orders)) == [(1, "high"), (2, "new"), (3, "C"), (4, "D"), (9, "last")]
     assert rows(sequences.upserted(customers, orders.limit(0))) == [(1, "A"), (2, "B"), (3, "C"), (4, "D")]
+
+
+def test_lines_of_every_date_are_numbered(spark):
+    lines = [(1, n, 5, 6, 1.0, date) for n, date in ((1, "1994-01-01"), (2, "1997-12-31"), (3, "1998-01-01"))] + [(2, 4, 5, 6, 1.0, "1992-02-02"), (2, 7, 5, 6, 1.0, None)]
+    df = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_shipdate string")
+    got = [(r["l_orderkey"], r["l_linenumber"], r["place"]) for r in relational.numbered_lines(df).collect()]
+    assert sorted(got) == [(1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 4, 1), (2, 7, 2)]
+
+
+def test_label_lines_of_every_language_and_source(spark):
+    docs = [(1, "Name: Ana\nno label\nRole-x: b\r", "es", "scene_transcript"), (2, "Ab: 猫\u2028犬", None, None), (3, "x\n\nNote: a: b", "ja", "web"), (4, None, "en", "scene_transcript"), (5, "A: short\nOk:none\nOk: ", "en", "scene_transcript")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    assert rows(relational.label_lines(df)) == [(1, 1, "Name", 3), (1, 3, "Role-x", 2), (2, 1, "Ab", 3), (3, 3, "Note", 4)]
