@@ -275,6 +275,44 @@ def merge_split_check(spark: SparkSession, d: str) -> DataFrame:
     return held.groupBy("actual_group").agg(F.count("expected_group").alias("n_expected"), (F.count("expected_group") > 1).alias("merges"), F.bool_or(F.col("expected_group").isNull()).alias("has_extra"))
 
 
+_WHOLE_PARTS = _PARTS.replace(" WHERE region_id > 'reg-4'", "").replace(" WHERE region_id < 'reg-f'", "")
+
+
+def whole_overlaps(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """Overlaps of an asset's regions, expected together, with those of one direction, over all regions of both sides."""
+    a = expected.select("region_id", F.col("asset_id").alias("g"))
+    return evaluate.partition_overlaps(a, actual.select("region_id", F.concat("asset_id", "direction").alias("g")), "region_id", "g")
+
+
+def _whole(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "evaluation_regions").select("region_id", "asset_id", "direction")
+    return whole_overlaps(rows, rows)
+
+
+def merges_and_extras(overlaps: DataFrame) -> DataFrame:
+    """``actual_group, n_expected, merges, has_extra`` of each actual group."""
+    held = overlaps.where("actual_group is not null")
+    return held.groupBy("actual_group").agg(F.count("expected_group").alias("n_expected"), (F.count("expected_group") > 1).alias("merges"), F.bool_or(F.col("expected_group").isNull()).alias("has_extra"))
+
+
+@R.query(SQL["group_region_overlap"].replace(_PARTS, _WHOLE_PARTS))
+def group_region_overlap_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``group_region_overlap`` over all regions."""
+    return _whole(spark, d)
+
+
+@R.query(SQL["cluster_evaluation"].replace(_PARTS, _WHOLE_PARTS))
+def cluster_evaluation_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``cluster_evaluation`` over all regions."""
+    return evaluate.judge_groups(_whole(spark, d))
+
+
+@R.query(SQL["merge_split_check"].replace(_PARTS, _WHOLE_PARTS))
+def merge_split_check_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``merge_split_check`` over all regions."""
+    return merges_and_extras(_whole(spark, d))
+
+
 @R.query("""SELECT asset_id, count(DISTINCT direction) = 1 AS same, min(direction) AS direction FROM evaluation_regions GROUP BY 1""")
 def topology_check(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "evaluation_regions").groupBy("asset_id").agg((F.count_distinct("direction") == 1).alias("same"), F.min("direction").alias("direction"))

@@ -3,8 +3,8 @@
 import hashlib
 import random
 
-from quire.operators import sequence
-from quire.plans import relational, sequences, texts
+from quire.operators import evaluate, sequence
+from quire.plans import evaluation, relational, sequences, texts
 
 rng = random.Random(11)
 
@@ -68,3 +68,13 @@ def test_label_lines_of_every_language_and_source(spark):
     docs = [(1, "Name: Ana\nno label\nRole-x: b\r", "es", "scene_transcript"), (2, "Ab: 猫\u2028犬", None, None), (3, "x\n\nNote: a: b", "ja", "web"), (4, None, "en", "scene_transcript"), (5, "A: short\nOk:none\nOk: ", "en", "scene_transcript")]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
     assert rows(relational.label_lines(df)) == [(1, 1, "Name", 3), (1, 3, "Role-x", 2), (2, 1, "Ab", 3), (3, 3, "Note", 4)]
+
+
+def test_partitions_over_all_regions(spark):
+    kind = "region_id string, asset_id string, direction string"
+    expected = spark.createDataFrame([("reg-0", "p", "v"), ("reg-5", "p", "v"), ("reg-z", "p", "h"), ("reg-1", "q", "v"), ("reg-g", "q", "v"), ("reg-2", "m", "v")], kind)
+    actual = spark.createDataFrame([("reg-0", "p", "v"), ("reg-5", "p", "v"), ("reg-z", "p", "h"), ("reg-1", "q", "v"), ("reg-g", "q", "v"), ("reg-y", "q", "v"), ("reg-x", "x", "h")], kind)
+    held = evaluation.whole_overlaps(expected, actual)  # reg-2 is missing; reg-y and reg-x are extra
+    assert rows(held) == sorted([("p", "pv", 2), ("p", "ph", 1), ("q", "qv", 2), ("m", None, 1), (None, "qv", 1), (None, "xh", 1)], key=repr)
+    assert rows(evaluate.judge_groups(held)) == [("m", 1, 0, "miss"), ("p", 3, 2, "split"), ("q", 2, 1, "merge")]
+    assert rows(evaluation.merges_and_extras(held)) == [("ph", 1, False, False), ("pv", 1, False, False), ("qv", 1, False, True), ("xh", 0, False, True)]
