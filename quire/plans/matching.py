@@ -30,8 +30,35 @@ def readings(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("page", "x", "y", "w", "h").agg(F.min("id").alias("id"))
 
 
+def all_readings(fragments: DataFrame) -> DataFrame:
+    """Boxes of all distinct readings, those of equal boxes too."""
+    b = F.col("bbox")
+    return fragments.select(F.col("asset_id").alias("page"), F.col("fragment_id").alias("id"), b.x.alias("x"), b.y.alias("y"), b.width.alias("w"), b.height.alias("h")).distinct()
+
+
+def box_classes(rows: DataFrame) -> DataFrame:
+    """``page, id, representative`` of every box: the smallest id of the page's boxes equal to it (null-safe)."""
+    box = ["page", "x", "y", "w", "h"]
+    firsts = rows.groupBy(*box).agg(F.min("id").alias("representative")).withColumnsRenamed({c: f"c_{c}" for c in box})
+    same = reduce(lambda acc, c: acc & F.col(c).eqNullSafe(F.col(f"c_{c}")), box, F.lit(True))
+    return rows.join(firsts, same).select("page", "id", "representative")
+
+
+def votes(boxes: DataFrame) -> DataFrame:
+    """``page, n_vertical, n_horizontal, vote`` of the boxes of each page."""
+    way = orientation(Box(""))
+    v, z = F.count_if(way == "vertical"), F.count_if(way == "horizontal")
+    return boxes.groupBy("page").agg(v.alias("n_vertical"), z.alias("n_horizontal"), F.when(v > z, "vertical").when(z > v, "horizontal").otherwise("uncertain").alias("vote"))
+
+
+def seeds_of(nodes: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``node, seed, distance_squared``: the nearest of the page's seeds within 100 of each box."""
+    return graph.nearest_seed(nodes.select(F.col("id").alias("node"), "page", "x", "y"), seeds.select(F.col("id").alias("seed"), "page", "x", "y"), "page", "x", "y", 100, 100)
+
+
 _REGIONS = "r AS (SELECT DISTINCT asset_id AS page, region_id AS id, bbox.x AS x, bbox.y AS y, bbox.width AS w, bbox.height AS h FROM evaluation_regions)"
 _READS = "f AS (SELECT asset_id AS page, min(fragment_id) AS id, bbox.x AS x, bbox.y AS y, bbox.width AS w, bbox.height AS h FROM fragments GROUP BY asset_id, bbox.x, bbox.y, bbox.width, bbox.height)"
+_ALL_READS = "f AS (SELECT DISTINCT asset_id AS page, fragment_id AS id, bbox.x AS x, bbox.y AS y, bbox.width AS w, bbox.height AS h FROM fragments)"
 _SHARED = "CAST(greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) AS BIGINT) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"
 _GAP = "pow(greatest(0, greatest(a.x, b.x) - least(a.x + a.w, b.x + b.w)), 2)::BIGINT + pow(greatest(0, greatest(a.y, b.y) - least(a.y + a.h, b.y + b.h)), 2)::BIGINT"
 _IOU = f"round(coalesce(({_SHARED})::DOUBLE / nullif(a.w * a.h + b.w * b.h - {_SHARED}, 0), 0), 6)"
@@ -70,6 +97,12 @@ def orientation_vote(spark: SparkSession, d: str) -> DataFrame:
     return readings(spark, d).groupBy("page").agg(v.alias("n_vertical"), z.alias("n_horizontal"), F.when(v > z, "vertical").when(z > v, "horizontal").otherwise("uncertain").alias("vote"))
 
 
+@R.query(SQL["orientation_vote"].replace(_READS, _ALL_READS))
+def orientation_vote_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``orientation_vote`` in which every distinct reading has a vote."""
+    return votes(all_readings(table(spark, d, "fragments")))
+
+
 @R.query(f"""WITH {_REGIONS}, {_READS}, m AS (SELECT a.id AS target, b.id AS candidate, {_SHARED} AS shared, row_number() OVER (PARTITION BY a.id ORDER BY {_SHARED} DESC, b.id) AS rn FROM r a JOIN f b ON a.page = b.page
   WHERE (b.x * 2 + b.w BETWEEN a.x * 2 AND (a.x + a.w) * 2 AND b.y * 2 + b.h BETWEEN a.y * 2 AND (a.y + a.h) * 2) OR {_SHARED} >= a.w * a.h * 0.5) SELECT target, candidate, shared FROM m WHERE rn = 1""")
 def theta_best_match(spark: SparkSession, d: str) -> DataFrame:
@@ -82,6 +115,12 @@ def unique_container_join(spark: SparkSession, d: str) -> DataFrame:
     return pairs.unique_containers(readings(spark, d), regions(spark, d))
 
 
+@R.query(SQL["unique_container_join"].replace(_READS, _ALL_READS))
+def unique_container_join_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``unique_container_join`` with a row for every distinct reading."""
+    return pairs.unique_containers(all_readings(table(spark, d, "fragments")), regions(spark, d))
+
+
 _NEAR = f"""n AS (SELECT a.id, b.id AS neighbour, {_GAP} AS gap2, row_number() OVER (PARTITION BY a.id ORDER BY {_GAP}, b.id) AS rn FROM r a JOIN r b ON a.page = b.page AND a.id <> b.id WHERE {_GAP} <= 14400)"""
 
 
@@ -107,6 +146,12 @@ def near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.near_pairs(readings(spark, d), 0).where("iou >= 0.85").select("page", "a_id", "b_id", "iou")
 
 
+@R.query(f"WITH {_ALL_READS} SELECT page, id, min(id) OVER (PARTITION BY page, x, y, w, h) AS representative FROM f")
+def near_duplicate_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every reading and the one under which ``near_duplicate_pairs`` has its box."""
+    return box_classes(all_readings(table(spark, d, "fragments")))
+
+
 @R.query(f"""WITH RECURSIVE {_REGIONS}, e AS (SELECT a.id AS u, b.id AS v FROM r a JOIN r b ON a.page = b.page AND a.id <> b.id WHERE {_GAP} <= 900),
 t(node, seen) AS (SELECT u, u FROM e UNION SELECT t.node, e.v FROM t JOIN e ON t.seen = e.u) SELECT node, min(seen) AS component FROM t GROUP BY 1""")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
@@ -126,6 +171,12 @@ def nearest_seed(spark: SparkSession, d: str) -> DataFrame:
     return graph.nearest_seed(nodes, regions(spark, d).select(F.col("id").alias("seed"), "page", "x", "y"), "page", "x", "y", 100, 100)
 
 
+@R.query(SQL["nearest_seed"].replace(_READS, _ALL_READS))
+def nearest_seed_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``nearest_seed`` of every distinct reading."""
+    return seeds_of(all_readings(table(spark, d, "fragments")), regions(spark, d))
+
+
 @R.query()
 def multi_source_reach(spark: SparkSession, d: str) -> DataFrame:
     """Regions reached from each page's first region and its last over gaps of up to 120, within a path of 400."""

@@ -3,8 +3,8 @@
 import hashlib
 import random
 
-from quire.operators import evaluate, sequence
-from quire.plans import evaluation, relational, sequences, texts
+from quire.operators import evaluate, pairs, sequence
+from quire.plans import evaluation, matching, relational, sequences, texts
 
 rng = random.Random(11)
 
@@ -78,3 +78,15 @@ def test_partitions_over_all_regions(spark):
     assert rows(held) == sorted([("p", "pv", 2), ("p", "ph", 1), ("q", "qv", 2), ("m", None, 1), (None, "qv", 1), (None, "xh", 1)], key=repr)
     assert rows(evaluate.judge_groups(held)) == [("m", 1, 0, "miss"), ("p", 3, 2, "split"), ("q", 2, 1, "merge")]
     assert rows(evaluation.merges_and_extras(held)) == [("ph", 1, False, False), ("pv", 1, False, False), ("qv", 1, False, True), ("xh", 0, False, True)]
+
+
+def test_readings_of_equal_boxes_keep_their_rows(spark):
+    box, other = (10, 10, 20, 40), (200, 10, 60, 20)
+    reads = [("f1", "p", box), ("f2", "p", box), ("f3", "p", box), ("f4", "p", other), ("f1", "p", box), ("f5", "q", box), ("f7", "q", (None, 1, 1, 1)), ("f6", "q", (None, 1, 1, 1))]
+    df = spark.createDataFrame(reads, "fragment_id string, asset_id string, bbox struct<x int, y int, width int, height int>")
+    own = matching.all_readings(df)
+    areas = spark.createDataFrame([("p", "r1", 0, 0, 100, 100)], "page string, id string, x int, y int, w int, h int")
+    assert rows(pairs.unique_containers(own.where("page = 'p'"), areas)) == [("f1", "r1", "unique"), ("f2", "r1", "unique"), ("f3", "r1", "unique"), ("f4", None, "none")]
+    assert rows(matching.seeds_of(own, areas)) == [("f1", "r1", 200), ("f2", "r1", 200), ("f3", "r1", 200)]
+    assert rows(matching.votes(own.where("page = 'p'"))) == [("p", 3, 1, "vertical")]
+    assert rows(matching.box_classes(own)) == [("p", "f1", "f1"), ("p", "f2", "f1"), ("p", "f3", "f1"), ("p", "f4", "f4"), ("q", "f5", "f5"), ("q", "f6", "f6"), ("q", "f7", "f6")]
