@@ -187,10 +187,16 @@ class Statistics:
         return 0.0, False
 
 
-def bare_answer(answer: str, instructions: dict[str, list[str]]) -> str:
-    """An answer without a lead-in: an instruction said again, a label or a speaker's name."""
+def bare_answer(answer: str, instructions: dict[str, list[str]], own: str | None = None) -> str:
+    """An answer without a lead-in: an instruction said again, a label or a speaker's name.
+
+    The row's ``own`` instruction goes whether the sample has it or not, unless nothing else would be left.
+    """
     text = answer.strip()
-    for told in instructions.get(text[:8], ()):
+    known, told = instructions.get(text[:8], ()), (own or "").strip()
+    if told and told not in known and text.startswith(told) and plain(text[len(told) :]):
+        known = sorted([*known, told], key=len, reverse=True)
+    for told in known:
         if text.startswith(told):
             text = text[len(told) :]
             break
@@ -199,7 +205,7 @@ def bare_answer(answer: str, instructions: dict[str, list[str]]) -> str:
 
 def features(stats: Statistics, row: dict, answer: str, broken: bool) -> tuple[list[str], np.ndarray]:
     """Clauses of an answer and a row of features for each."""
-    parts = clauses(bare_answer(answer, stats.instructions))
+    parts = clauses(bare_answer(answer, stats.instructions, row["instruction"]))
     source, told = plain(row["source_text"]), plain(row["instruction"])
     pairs, told_pairs = {source[i : i + 2] for i in range(len(source) - 1)}, {told[i : i + 2] for i in range(len(told) - 1)}
     source_mark = end_mark(row["source_text"] or "")

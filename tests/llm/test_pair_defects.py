@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from quire.llm.pair_defects import COLUMNS, Judge, answer_text, clauses, end_mark, find_defects
+from quire.llm.pair_defects import COLUMNS, Judge, answer_text, bare_answer, clauses, end_mark, find_defects
 
 THINGS = ["bell", "lamp", "mask", "letter", "map", "crane", "key", "coin", "drum", "rope"]
 COSAS = ["campana", "farol", "máscara", "carta", "mapa", "grulla", "llave", "moneda", "tambor", "cuerda"]
@@ -74,3 +74,11 @@ def test_column_form(spark):
     assert [x for x in got if x[0] >= 1000] == [(1000, "source_copy"), (1001, "empty")]
     assert {x[0] for x in got if x[1] == "refusal"} == {r["translation_id"] for r in rows if r["error_classification"]}
     assert find_defects(df.limit(0)).count() == 0
+
+
+def test_own_instruction_goes_though_the_sample_lacks_it(judge):
+    told = "Vierta cada frase del globo al castellano con todo cuidado y sin comentario alguno, por favor."
+    assert told[:8] not in judge.stats.instructions
+    assert bare_answer(told + " " + JA, judge.stats.instructions, told).strip() == JA and bare_answer(told, {}, told) == told
+    assert bare_answer(JA, {}, None) == bare_answer(JA, {}, "") == JA
+    assert judge.defect(row(1, JA, told + " " + JA, instruction=told)) == "source_copy"
