@@ -82,3 +82,29 @@ def decode(f: Field, x: np.ndarray) -> np.ndarray:
     for back in reversed(came):
         path.append(int(back[path[-1]]))
     return np.array(path[::-1])
+
+
+def decode_many(f: Field, x: np.ndarray, sequence: np.ndarray) -> np.ndarray:
+    """Most probable labels of many sequences: the features of all steps, and the sequence of each, in order.
+
+    Sequences of one length are decoded together.
+    """
+    if not len(x):
+        return np.zeros(0, "int64")
+    score = x @ f.emit.T
+    starts = np.flatnonzero(np.concatenate([[True], sequence[1:] != sequence[:-1]]))
+    lengths = np.diff(np.append(starts, len(x)))
+    out = np.zeros(len(x), "int64")
+    for t in np.unique(lengths):
+        at = starts[lengths == t]
+        best = f.first + score[at]
+        came = np.zeros((t, *best.shape), "int8")
+        for i in range(1, t):
+            options = best[:, :, None] + f.step
+            came[i] = options.argmax(1)
+            best = options.max(1) + score[at + i]
+        label = (best + f.last).argmax(1)
+        for i in range(t - 1, -1, -1):
+            out[at + i] = label
+            label = came[i][np.arange(len(at)), label]
+    return out

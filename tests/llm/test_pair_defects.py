@@ -3,7 +3,10 @@ import random
 
 import pytest
 
-from quire.llm.pair_defects import COLUMNS, Judge, answer_text, bare_answer, clauses, end_mark, find_defects
+import numpy as np
+
+from quire.llm.letters import MARKS, Hashes, block, clauses, grams, letters
+from quire.llm.pair_defects import COLUMNS, Judge, answer_text, bare_answer, find_defects
 
 THINGS = ["bell", "lamp", "mask", "letter", "map", "crane", "key", "coin", "drum", "rope"]
 COSAS = ["campana", "farol", "máscara", "carta", "mapa", "grulla", "llave", "moneda", "tambor", "cuerda"]
@@ -33,7 +36,7 @@ def sample(n=700, seed=1):
 
 @pytest.fixture(scope="module")
 def judge():
-    return Judge(sample())
+    return Judge.of_rows(sample())
 
 
 JA, ES = "その鍵をくれ！古い鐘がなくなった。", "¡Dame el llave ahora! El viejo campana ya no está."
@@ -59,14 +62,26 @@ def test_sound_rows_stay_sound(judge):
     assert sum(judge.defect(r) is not None for r in fresh) <= 2
 
 
+def parts(text):
+    x = clauses(block([text])).letters
+    return ["".join(map(chr, x.points[x.group == i])) for i in range(x.n)]
+
+
 def test_pieces():
-    assert clauses("Oh... no! Go.  ") == ["Oh... no!", " Go.  "] and clauses("……") == ["……"] and clauses("") == []
-    assert (end_mark("a。」"), end_mark("b——"), end_mark("c"), end_mark("")) == (".", "-", "", "")
+    assert parts("Oh... no! Go.  ") == ["ohno", "go"] and parts("……") == parts("") == [] and parts("v1.5 a.b。「はい。」次") == ["v15ab", "はい", "次"]
+    held = clauses(block(["a。」", "b——", "c", "", "d...", None]))
+    assert [MARKS[k] for k in held.row_mark] == [".", "-", "", "", "~", ""] and held.row.tolist() == [0, 1, 2, 4] and held.closed.tolist() == [True, False, False, False]
     assert answer_text(None, "```json\n\n```") == ("", False) and answer_text("x", '{"a": "b') == ("x", True)
 
 
+def test_hashes_of_equal_stretches_are_equal():
+    x = letters(block(["abcab", "cab", "ab\0c"]))
+    h, row = grams(x, 2, Hashes(x.points))
+    assert row.tolist() == [0, 0, 0, 0, 1, 1, 2, 2] and len(np.unique(h)) == 3 and h[0] == h[3] == h[5] == h[6]
+
+
 def test_column_form(spark):
-    kinds = dict(translation_id="long", api_ok="boolean")
+    kinds = dict(translation_id="long")
     schema = ", ".join(f"{c} {kinds.get(c, 'string')}" for c in COLUMNS) + ", defect_type string"
     rows = sample(300) + [row(1000, JA, JA), row(1000, JA, JA), row(1001, None, None, content=None)]
     df = spark.createDataFrame([(*[r[c] for c in COLUMNS], "clash") for r in rows], schema)
@@ -76,9 +91,31 @@ def test_column_form(spark):
     assert find_defects(df.limit(0)).count() == 0
 
 
-def test_own_instruction_goes_though_the_sample_lacks_it(judge):
+def test_instructions_go(judge):
     told = "Vierta cada frase del globo al castellano con todo cuidado y sin comentario alguno, por favor."
-    assert told[:8] not in judge.stats.instructions
-    assert bare_answer(told + " " + JA, judge.stats.instructions, told).strip() == JA and bare_answer(told, {}, told) == told
-    assert bare_answer(JA, {}, None) == bare_answer(JA, {}, "") == JA
+    assert bare_answer(told + " " + JA, told).strip() == JA and bare_answer(told, told) == told and bare_answer(JA, None) == bare_answer(JA, "") == JA
     assert judge.defect(row(1, JA, told + " " + JA, instruction=told)) == "source_copy"
+    assert judge.defect(row(1, JA, "Translate into English. " + JA)) == "source_copy"  # another row's instruction
+
+
+def test_refusals_of_a_fifth_language_are_learnt_from_the_providers_labels():
+    said = ["Dieser Inhalt kann leider nicht übersetzt werden.", "Ich darf diese Anfrage nicht beantworten.", "Als Sprachmodell muss ich diese Anfrage ablehnen."]
+    rows = sample(500)
+    for i, r in enumerate(rows):
+        if i % 20 == 7:
+            rows[i] = r | dict(translation_text=None, content=said[i // 20 % 3], error_classification="provider_refusal")
+    german = Judge.of_rows(rows)
+    assert [german.defect(row(1, JA, x)) for x in said] == ["refusal"] * 3
+    assert german.defect(row(1, JA, "Leider kann diese Anfrage nicht beantwortet werden.")) == "refusal"  # in no labelled row
+    assert german.defect(row(1, JA, ES)) is None
+
+
+def test_the_latest_delivery_counts(spark):
+    texts = [c for c in COLUMNS if c != "translation_id"]
+    schema = "translation_id long, " + ", ".join(f"{c} string" for c in texts) + ", loaded_at timestamp_ntz"
+    import datetime as dt
+
+    early, late = dt.datetime(2025, 1, 1), dt.datetime(2025, 2, 1)
+    rows = [(r, late) for r in sample(300)] + [(row(1000, JA, JA), early), (row(1000, JA, ES), late), (row(1001, JA, ES), early), (row(1001, JA, JA), late), (row(None, JA, JA), late)]
+    df = spark.createDataFrame([(r["translation_id"], *[r[c] for c in texts], at) for r, at in rows], schema)
+    assert [tuple(r) for r in find_defects(df).collect() if r[0] is None or r[0] >= 1000] == [(1001, "source_copy")]
