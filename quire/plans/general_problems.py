@@ -12,17 +12,18 @@ from quire.sources.tables import table
 QUERIES, SQL = {}, {}
 
 
-def _tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _tree(spark: SparkSession, d: str, paths: bool = True) -> tuple[DataFrame, DataFrame]:
     runs = table(spark, d, "page_cleaning_runs").select("page_cleaning_run_id", "supersedes_run_id", "loaded_at")
     links = parent_links(runs, "page_cleaning_run_id", "supersedes_run_id", ["loaded_at"])
-    return links, resolve_hierarchy(links)
+    return links, resolve_hierarchy(links, paths=paths)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Root of every run that names a run it supersedes."""
-    links, tree = _tree(spark, d)
-    named = links.where(F.col("named_parent").isNotNull()).select("node_id")
-    return tree.join(named, "node_id", "left_semi").select(F.col("node_id").alias("page_cleaning_run_id"), F.col("root_id").alias("root_run_id"))
+    links, tree = _tree(spark, d, paths=False)
+    lone = links.where("dangling").select(F.col("node_id").alias("lone_id"))  # roots all the same, though they name a run
+    named = tree.join(lone, F.col("node_id") == F.col("lone_id"), "left").where(F.col("parent_id").isNotNull() | F.col("lone_id").isNotNull())
+    return named.select(F.col("node_id").alias("page_cleaning_run_id"), F.col("root_id").alias("root_run_id"))
 
 
 def p2_hierarchy(spark: SparkSession, d: str) -> DataFrame:
@@ -62,6 +63,25 @@ WITH RECURSIVE nodes AS (
   FROM linked l LEFT JOIN low USING (id) LEFT JOIN top USING (id)
 )"""
 SQL["p2_found"] = _NODES + "\nSELECT id AS page_cleaning_run_id, root AS root_run_id FROM rooted WHERE named IS NOT NULL"
+SQL["p2_hierarchy"] = (
+    _NODES
+    + """, cut AS (
+  SELECT l.id, l.up, g.id IS NOT NULL AS on_cycle, CASE WHEN g.id IS NULL THEN l.up END AS above FROM linked l LEFT JOIN ring g ON l.id = g.id
+), trail(id, cur, depth, path) AS (
+  SELECT id, above, 0, id FROM cut
+  UNION ALL
+  SELECT t.id, c.above, t.depth + 1, c.id || '>' || t.path FROM trail t JOIN cut c ON t.cur = c.id
+), whole AS (
+  SELECT id, max(depth) AS depth, arg_max(path, depth) AS path FROM trail GROUP BY 1
+), below AS (
+  SELECT cur AS id, count(*) AS n FROM (SELECT DISTINCT id, cur FROM reach0) GROUP BY 1
+), family AS (
+  SELECT root, count(*) AS n FROM rooted GROUP BY 1
+)
+SELECT c.id AS page_cleaning_run_id, r.root AS root_run_id, CAST(w.depth AS INTEGER) AS depth, w.path, CASE WHEN c.on_cycle THEN f.n ELSE b.n END - 1 AS n_descendants,
+  CASE WHEN c.on_cycle THEN 'cycle' WHEN r.root LIKE 'cycle:%' THEN 'into_cycle' WHEN c.up IS NULL THEN 'root' ELSE 'tree' END AS node_state
+FROM cut c JOIN rooted r ON c.id = r.id JOIN whole w ON c.id = w.id JOIN below b ON c.id = b.id JOIN family f ON r.root = f.root"""
+)
 SQL["p2_descendants"] = (
     _NODES
     + """, cut AS (

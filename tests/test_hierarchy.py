@@ -28,18 +28,19 @@ def solve(spark, rows, **kw):
     return resolve_hierarchy(parent_links(df, "id", "up", ["seen"]), **kw)
 
 
-@pytest.mark.parametrize("max_component", [1000, 2])
-def test_random_forests_and_cycles(spark, max_component):
+@pytest.mark.parametrize("limits", [dict(), dict(max_component=2), dict(max_path_nodes=3), dict(paths=False), dict(paths=False, max_component=2)])
+def test_random_forests_and_cycles(spark, limits):
     rng = random.Random(7)
     ids = [f"n{i:03d}" for i in range(60)]
     parents = {v: rng.choice([None, "", "gone", *ids[:12], *ids[:12], *ids]) for v in ids}
     parents["n001"] = "n001"
     parents["n050"], parents["n051"] = "n051", "n050"
     rows = [*parents.items(), ("n003", parents["n003"]), (None, "n001")]
-    got = {r["node_id"]: r for r in solve(spark, rows, max_component=max_component).collect()}
+    got = {r["node_id"]: r for r in solve(spark, rows, **limits).collect()}
     want = brute({k: v or None for k, v in parents.items()})
     assert {k: (r["root_id"], r["depth"]) for k, r in got.items()} == want
-    assert all(len(r["path"]) == r["depth"] + 1 and r["path"][-1] == k for k, r in got.items())
+    if limits.get("paths", True):
+        assert all(len(r["path"]) == r["depth"] + 1 and r["path"][-1] == k and all(parents[b] == a for a, b in zip(r["path"], r["path"][1:])) for k, r in got.items())
     below = dict.fromkeys(ids, 0)
     for v in ids:
         seen, x = set(), parents[v]
@@ -69,3 +70,33 @@ def test_empty_and_pairs(spark):
     tree = solve(spark, [("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "y")])
     pairs = {tuple(r) for r in descendant_pairs(tree).collect()}
     assert pairs == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("cycle:x", "x", 0), ("cycle:x", "y", 0), ("cycle:x", "z", 1)}
+
+
+def test_long_cycles_with_long_tails(spark):
+    """Windows and steps must go on doubling until they cover every cycle and every tail."""
+    rows = [(f"a{i:03d}", f"a{(i + 1) % 37:03d}") for i in range(37)] + [(f"t{i:03d}", f"t{i - 1:03d}" if i else "a005") for i in range(90)] + [(f"b{i:03d}", f"b{(i + 1) % 16:03d}") for i in range(16)]
+    rows += [("r", None), ("s", "r")]
+    got = {r["node_id"]: r for r in solve(spark, rows).collect()}
+    want = brute(dict(rows))
+    assert {k: (r["root_id"], r["depth"]) for k, r in got.items()} == want and got["a000"]["n_descendants"] == 126 and got["t000"]["n_descendants"] == 89
+
+
+def test_walk_holds_little(tmp_path):
+    """A chain of 200,000 nodes without paths, and the first slices of one of 50,000 with them, within 400 MB."""
+    code = """
+import resource
+from itertools import islice
+from quire.operators.hierarchy import _walk
+chain = lambda n: ([f"run-{i:032d}" for i in range(n)], [f"run-{i - 1:032d}" if i else None for i in range(n)])
+rows = [r for piece in _walk(*chain(200_000), False) for r in piece]
+assert len(rows) == 200_000 and rows[-1][2:5] == ("run-" + "0" * 32, 199_999, 0)
+n = sum(len(piece) for piece in islice(_walk(*chain(50_000), True), 2_000))
+assert n > 20_000
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    import subprocess
+    import sys
+
+    root = __import__("pathlib").Path(__file__).resolve().parent.parent
+    peak = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=root).stdout)
+    assert peak < 400, peak
