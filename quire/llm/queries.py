@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import contamination, packing, pair_defects, quantiles, reading_level, tokens
-from quire.llm.visual_text import consistent_form
+from quire.llm.forms_sql import consistent_sql
+from quire.llm.visual_text import consistent_form, look_key
 from quire.session import cut_lineage
 from quire.sources.tables import table
 
@@ -29,23 +30,27 @@ def p1_defect_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Fragments that read as a region of their asset does, in other characters."""
-    regions = table(spark, d, "evaluation_regions").where(F.col("expected") != "").select("region_id", "asset_id", "expected", consistent_form("expected").alias("form"))
+    regions = table(spark, d, "evaluation_regions").where(F.col("expected") != "").select("region_id", "asset_id", "expected", look_key("expected").alias("form"))
     reads = table(spark, d, "fragments").where(F.col("ocr_text") != "")
-    reads = reads.select("fragment_id", F.col("asset_id").alias("read_asset"), "ocr_text", consistent_form("ocr_text").alias("read_form"))
+    reads = reads.select("fragment_id", F.col("asset_id").alias("read_asset"), "ocr_text", look_key("ocr_text").alias("read_form"))
     same = (F.col("asset_id") == F.col("read_asset")) & (F.col("form") == F.col("read_form")) & (F.col("ocr_text") != F.col("expected"))
     return reads.join(regions, same).select("fragment_id", "region_id").distinct()
 
 
 def p4_consistent_regions(spark: SparkSession, d: str) -> DataFrame:
-    """The consistent form of every region's text."""
-    return table(spark, d, "evaluation_regions").select("region_id", "asset_id", consistent_form("expected").alias("consistent_expected"))
+    """The consistent form of every region's text; regions delivered again come out once."""
+    return table(spark, d, "evaluation_regions").select("region_id", "asset_id", consistent_form("expected").alias("consistent_expected")).distinct()
 
 
 def p4_consistent_fragments(spark: SparkSession, d: str) -> DataFrame:
-    """The consistent form of every reading."""
+    """The consistent form of every reading; readings delivered again come out once."""
     return table(spark, d, "fragments").select("fragment_id", "asset_id", consistent_form("ocr_text").alias("consistent_text")).distinct()
 
 
+SQL["p4_consistent_regions"] = f"SELECT DISTINCT region_id, asset_id, {consistent_sql('expected')} AS consistent_expected FROM evaluation_regions"
+SQL["p4_consistent_fragments"] = f"SELECT DISTINCT fragment_id, asset_id, {consistent_sql('ocr_text')} AS consistent_text FROM fragments"
+
+
 SHARES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
 
