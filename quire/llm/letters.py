@@ -18,13 +18,15 @@ BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 MARKS = ("", ".", "!", "?", "~", "-")
 # Closing marks of clauses after compatibility form, what may follow a clause's mark, and other ends.
-ENDERS = "。.!?"
+ENDERS = "。.!?．！？｡…"
+JOINERS = "'’-"
 CLOSERS = "\"'”’」』)]】》"
 MARK_OF = {"。": 1, ".": 1, "!": 2, "?": 3, "♪": 4, "~": 4, "—": 5, "―": 5}
 
 
 class Tables(NamedTuple):
-    """By code point: letter or digit, script (an index of ``scripts``), white space, clause end, closing mark, end mark."""
+    """By code point: letter or digit, script (an index of ``scripts``), white space, clause end, closing mark, end mark, and
+    the kind of word it is part of: 0 none, 1 letters of most scripts, 2 ideographs, 3 hiragana, 4 katakana."""
 
     letter: np.ndarray
     script: np.ndarray
@@ -33,6 +35,7 @@ class Tables(NamedTuple):
     ender: np.ndarray
     closer: np.ndarray
     mark: np.ndarray
+    word: np.ndarray
 
 
 @lru_cache(maxsize=1)
@@ -41,27 +44,33 @@ def tables() -> Tables:
     letter, space = np.zeros(SIZE, bool), np.zeros(SIZE, bool)
     script, names = np.zeros(SIZE, "uint8"), {"?": 0}
     ender, closer, mark = np.zeros(SIZE, bool), np.zeros(SIZE, bool), np.zeros(SIZE, "uint8")
+    word = np.zeros(SIZE, "uint8")
     cjk = ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0x20000, 0x32000))
     for lo, hi in cjk:
         letter[lo:hi] = True
+        word[lo:hi] = 2
         script[lo:hi] = names.setdefault("CJK", len(names))
+    word[0xAC00:0xD7A4] = 1
     letter[0xAC00:0xD7A4], script[0xAC00:0xD7A4] = True, names.setdefault("HANGUL", len(names))
     for cp in [*range(0x3400), *range(0x4DC0, 0x4E00), *range(0xA000, 0xAC00), *range(0xF900, 0x20000)]:
         char = chr(cp)
         if char.isalnum():
             letter[cp] = True
+            word[cp] = char.isalpha()
             name = unicodedata.name(char, "?").split(" ", 1)[0].split("-", 1)[0]
             name = "KANA" if name in ("HIRAGANA", "KATAKANA") else name
             script[cp] = names.setdefault(name, len(names)) if len(names) < 255 or name in names else 0
         elif char.isspace():
             space[cp] = True
+    for lo, hi, kind in ((0x3041, 0x30A0, 3), (0x30A1, 0x30FB, 4), (0x30FC, 0x30FD, 4), (0x3005, 0x3006, 2)):
+        word[lo:hi] = kind
     for c in ENDERS:
         ender[ord(c)] = True
     for c in CLOSERS:
         closer[ord(c)] = True
     for c, k in MARK_OF.items():
         mark[ord(c)] = k
-    return Tables(letter, script, list(names), space, ender, closer, mark)
+    return Tables(letter, script, list(names), space, ender, closer, mark, word)
 
 
 class Block(NamedTuple):
@@ -72,13 +81,14 @@ class Block(NamedTuple):
     n: int
 
 
-def block(texts: list[str | None]) -> Block:
-    """Texts in compatibility form and lower case; null texts are empty."""
+def block(texts: list[str | None], compatible: bool = True) -> Block:
+    """Texts in compatibility form (unless not asked for) and lower case; null texts are empty."""
     n = len(texts)
     whole = "\0".join([t or "" for t in texts]) + "\0"
     if whole.count("\0") != n:
         whole = "\0".join([(t or "").replace("\0", " ") for t in texts]) + "\0"
-    points = np.frombuffer(unicodedata.normalize("NFKC", whole).lower().encode("utf-32-le", "replace"), "uint32") if n else np.zeros(0, "uint32")
+    whole = unicodedata.normalize("NFKC", whole) if compatible else whole
+    points = np.frombuffer(whole.lower().encode("utf-32-le", "replace"), "uint32") if n else np.zeros(0, "uint32")
     end = points == 0
     row = np.cumsum(end) - end
     return Block(points, row, n)
@@ -107,16 +117,21 @@ class Clauses(NamedTuple):
     row_mark: np.ndarray
 
 
-def clauses(b: Block) -> Clauses:
-    """Clauses end at full stops, exclamation and question marks and line ends, with the closing marks that follow.
+class Pieces(NamedTuple):
+    """The piece of each point; last points of pieces; points that close a clause; dots in a row of three."""
+
+    piece: np.ndarray
+    cut: np.ndarray
+    hard: np.ndarray
+    trail: np.ndarray
+
 
-    A dot ends one only before white space, a closing mark or the text's end, and never in a row of three. What holds no
-    letter or digit goes to the clause before, at the start of a text to the first.
+def pieces(b: Block) -> Pieces:
+    """Pieces end at full stops, exclamation and question marks and line ends, with the closing marks that follow.
+
+    A dot ends one only before white space, a closing mark or the text's end, and never in a row of three.
     """
     t, p, n = tables(), b.points, len(b.points)
-    if not n:
-        none = np.zeros(0, "int64")
-        return Clauses(Letters(p, none, 0), none, np.zeros(0, bool), np.zeros(b.n, "uint8"))
     index = np.arange(n)
     dot = p == 0x2E
     after = np.append(p[1:], 0)
@@ -132,7 +147,16 @@ def clauses(b: Block) -> Clauses:
     start = np.maximum.accumulate(np.where(~tight, index + 1, 0))
     tail = tight & (np.maximum.accumulate(np.where(ender, index, -1)) >= start)
     cut = (tail & ~np.append(tail[1:], False)) | (p == 0)
-    piece = np.cumsum(cut) - cut
+    return Pieces(np.cumsum(cut) - cut, cut, hard, trail)
+
+
+def clauses(b: Block) -> Clauses:
+    """Clauses are pieces with a letter or digit; what holds none goes to the clause before, at the start of a text to the first."""
+    t, p = tables(), b.points
+    if not len(p):
+        none = np.zeros(0, "int64")
+        return Clauses(Letters(p, none, 0), none, np.zeros(0, bool), np.zeros(b.n, "uint8"))
+    piece, cut, hard, trail = pieces(b)
     n_pieces = int(piece[-1]) + 1
     at = np.flatnonzero(t.letter[p])
     holds = np.bincount(piece[at], minlength=n_pieces) > 0
@@ -149,6 +173,33 @@ def clauses(b: Block) -> Clauses:
     return Clauses(Letters(p[at], number[piece[at]], len(kept)), piece_row[kept], closed, row_mark)
 
 
+class Words(NamedTuple):
+    """Places of words in a block's points, and the row of each."""
+
+    start: np.ndarray
+    stop: np.ndarray
+    row: np.ndarray
+
+
+def words(b: Block) -> Words:
+    """Runs of letters of one kind, joined over a hyphen or apostrophe within most scripts; longer runs of ideographs give overlapping pairs."""
+    t, p, n = tables(), b.points, len(b.points)
+    kind = t.word[p]
+    if n > 2:
+        joins = np.isin(p[1:-1], [ord(c) for c in JOINERS]) & (kind[:-2] == 1) & (kind[2:] == 1)
+        kind[1:-1][joins] = 1
+    edge = np.concatenate([[True], kind[1:] != kind[:-1]]) if n else np.zeros(0, bool)
+    start = np.flatnonzero(edge & (kind > 0))
+    stop = np.flatnonzero(np.append(edge[1:], True) & (kind > 0)) + 1 if n else start
+    long = (kind[start] == 2) & (stop - start > 2)
+    if long.any():
+        count = np.where(long, stop - start - 1, 1)
+        which = np.repeat(np.arange(len(start)), count)
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        start, stop = start[which] + step, np.where(long[which], start[which] + step + 2, stop[which])
+    return Words(start, stop, b.row[start])
+
+
 class Hashes:
     """Hashes of any stretch of an array of code points."""
 

@@ -137,8 +137,9 @@ def p8_reading_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_level_agreement(spark: SparkSession, d: str) -> DataFrame:
-    """How the measures go with the readers' ratings, by language."""
-    return reading_level.level_agreement(p8_reading_levels(spark, d), table(spark, d, "level_ratings"))
+    """How the measures go with the readers' ratings, by language; levels are of weights that did not see the document."""
+    ratings = table(spark, d, "level_ratings")
+    return reading_level.level_agreement(reading_level.held_out_levels(table(spark, d, "documents"), ratings), ratings)
 
 
 def p8_document_frequencies(spark: SparkSession, d: str) -> DataFrame:
@@ -146,6 +147,15 @@ def p8_document_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return reading_level.document_frequencies(table(spark, d, "documents"))
 
 
+# Letters but ideographs and kana, joined over hyphens and apostrophes; runs of the others.
+_LETTER = r"[\p{Latin}\p{Greek}\p{Cyrillic}\p{Hangul}\p{Arabic}\p{Hebrew}\p{Thai}\p{Devanagari}]"
+_HAN = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{20000}-\x{31FFF}々"
+_WORD = f"{_LETTER}+(?:[''’-]{_LETTER}+)*|[{_HAN}]+|[ぁ-ゟ]+|[ァ-ヺー]+"
+SQL["p8_document_frequencies"] = f"""
+WITH found AS (SELECT r, lang, unnest(regexp_extract_all(lower(text), '{_WORD}')) AS w FROM (SELECT row_number() OVER () AS r, lang, text FROM documents)),
+cut AS (SELECT r, lang, unnest(CASE WHEN regexp_matches(w, '^[{_HAN}]') AND length(w) > 2 THEN list_transform(range(1, length(w)), lambda i: substr(w, i, 2)) ELSE [w] END) AS word FROM found)
+SELECT lang, word, count(DISTINCT r) AS n_documents FROM cut GROUP BY ALL"""
+
 QUERIES |= {
     f.__name__: f
     for f in (p1_found, p1_defect_rates, p4_found, p4_consistent_regions, p4_consistent_fragments, p5_stage_percentiles, p5_rank_check, p6_containers, p6_fill_report, p7_found, p7_spans, p7_leaked_items, p8_reading_levels, p8_level_agreement, p8_document_frequencies)
