@@ -20,6 +20,9 @@ from quire.session import parallelism
 
 FAN_IN = 64
 ERROR = 0.001
+CHUNK_ROWS = 4_000_000
+#: Tuples that a task holds before it writes what it has (24 bytes each).
+HELD_TUPLES = 6_000_000
 BODY = "n long, values array<double>, low array<long>, high array<long>"
 
 
@@ -94,6 +97,37 @@ def _merged(parts: list[tuple], size: int) -> tuple:
     return compress(parts[0], size)
 
 
+class Pile:
+    """Summaries of one key as they arrive: as soon as ``fan_in`` of a level are there they become one of the next level,
+    so that few are held however many come, and a value is compressed once a level."""
+
+    def __init__(self, size: int, fan_in: int = FAN_IN) -> None:
+        self.size, self.fan_in, self.levels = size, fan_in, [[]]
+
+    def add(self, s: tuple) -> int:
+        """Put a summary on the pile; by how many tuples it grew."""
+        grown, level = len(s[1]), 0
+        self.levels[0].append(s)
+        while len(self.levels[level]) >= self.fan_in:
+            full = self.levels[level]
+            self.levels[level] = []
+            if level + 1 == len(self.levels):
+                self.levels.append([])
+            one = _merged(full, self.size)
+            self.levels[level + 1].append(one)
+            grown += len(one[1]) - sum(len(x[1]) for x in full)
+            level += 1
+        return grown
+
+    def held(self) -> int:
+        """Summaries on the pile."""
+        return sum(map(len, self.levels))
+
+    def whole(self) -> tuple:
+        """One summary of all."""
+        return _merged([x for level in self.levels for x in level], self.size)
+
+
 def _key_schema(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -117,14 +151,15 @@ def _rows(keys: list[list], kinds: list[pa.DataType], summaries: list[tuple], na
 
 
 def merge_groups(parts: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """One summary per key of rows ``keys + BODY``; the caller keeps the rows of a key few (see ``merge_levels``).
+    """One summary per key of rows ``keys + BODY``.
 
-    Rows are placed and sorted by key and merged as they stream past, so small groups cost no call of their own.
+    Rows are placed and sorted by key and merged as they stream past, so small groups cost no call of their own and a key
+    with many summaries holds fewer than ``FAN_IN`` a level.
     """
     names = [*keys, "n", "values", "low", "high"]
 
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, done_keys, done = None, [], [], []
+        now, pile, done_keys, done = None, None, [], []
         kinds: list[pa.DataType] = []
 
         def out() -> pa.RecordBatch:
@@ -133,18 +168,19 @@ def merge_groups(parts: DataFrame, keys: list[str], size: int) -> DataFrame:
         for batch in batches:
             kinds = [batch.schema.field(k).type for k in keys]
             for key, s in zip(zip(*[batch.column(k).to_pylist() for k in keys]), _body(batch)):
-                if key != now and held:
+                if key != now and pile is not None:
                     done_keys.append(now)
-                    done.append(_merged(held, size))
-                    held = []
-                now = key
-                held.append(s)
+                    done.append(pile.whole())
+                    pile = None
+                if pile is None:
+                    now, pile = key, Pile(size)
+                pile.add(tuple(x if i == 0 else x.copy() for i, x in enumerate(s)))  # views would keep whole batches
             if len(done) > 200:
                 yield out()
                 done_keys, done = [], []
-        if held:
+        if pile is not None:
             done_keys.append(now)
-            done.append(_merged(held, size))
+            done.append(pile.whole())
         if done:
             yield out()
 
@@ -169,40 +205,63 @@ def levels_of(slots: int, fan_in: int = FAN_IN) -> int:
     return levels
 
 
-def summarise_groups(rows: DataFrame, keys: list[str], value: str, size: int, slots: int) -> DataFrame:
-    """Summaries of each partition's rows by key: ``keys, slot, BODY``. Null values are left out; nan counts as null."""
+def summarise_groups(rows: DataFrame, keys: list[str], value: str, size: int, slots: int, chunk_rows: int = CHUNK_ROWS, held_tuples: int = HELD_TUPLES) -> DataFrame:
+    """Summaries of each partition's rows by key: ``keys, slot, BODY``. Null values are left out; nan counts as null.
+
+    Rows are summarised ``chunk_rows`` at a time and a key's summaries merged within the task, so a task gives one a key,
+    however many rows it reads; only keys so many that their summaries exceed ``held_tuples`` are given more often.
+    """
     schema = f"{_key_schema(rows, keys)}, slot int, {BODY}"
     narrow = rows.select(*keys, F.col(value).cast("double").alias("value")).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    names = [*keys, "slot", "n", "values", "low", "high"]
 
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot, held, count = TaskContext.get().partitionId() % slots, [], 0
+        piles: dict[tuple, Pile] = {}
+        kinds: list[pa.DataType] = []
+        tuples = 0
 
-        def flush() -> pa.RecordBatch:
+        def digest() -> None:
+            nonlocal kinds, tuples
             rows = pa.Table.from_batches(held).combine_chunks()
             code, coded = np.zeros(rows.num_rows, "int64"), []
             for k in keys:
                 column = rows.column(k).combine_chunks().dictionary_encode(null_encoding="encode")
                 column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-                code = code * len(column.dictionary) + column.indices.to_numpy()
+                code = np.unique(code * len(column.dictionary) + column.indices.to_numpy(), return_inverse=True)[1]  # stays below the rows
                 coded.append(column)
             values = rows.column("value").to_numpy()
             order = np.lexsort((values, code))
             starts = np.flatnonzero(np.concatenate([[True], np.diff(code[order]) != 0]))
-            summaries = [summarise(values[order[i:j]], size) for i, j in zip(starts, [*starts[1:], len(order)])]
             firsts = pa.array(order[starts])
             kinds = [c.type.value_type for c in coded]
-            columns = [c.take(firsts).cast(kind).to_pylist() for c, kind in zip(coded, kinds)]
-            return _rows([*columns, [slot] * len(starts)], [*kinds, pa.int32()], summaries, [*keys, "slot", "n", "values", "low", "high"])
+            found = zip(*[c.take(firsts).cast(kind).to_pylist() for c, kind in zip(coded, kinds)]) if keys else [()]
+            for key, i, j in zip(found, starts, [*starts[1:], len(order)]):
+                tuples += piles.setdefault(key, Pile(size)).add(summarise(values[order[i:j]], size))
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal tuples
+            every = list(piles.items())
+            piles.clear()
+            tuples = 0
+            for lo in range(0, len(every), 200):
+                part = every[lo : lo + 200]
+                columns = [list(c) for c in zip(*[k for k, _ in part])] if keys else []
+                yield _rows([*columns, [slot] * len(part)], [*kinds, pa.int32()], [p.whole() for _, p in part], names)
 
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
                 count += batch.num_rows
-            if count > 4_000_000:  # a summary for every four million rows bounds what a task holds
-                yield flush()
+            if count >= chunk_rows:
+                digest()
                 held, count = [], 0
+                if tuples > held_tuples:
+                    yield from flush()
         if held:
-            yield flush()
+            digest()
+        if piles:
+            yield from flush()
 
     return narrow.mapInArrow(partition, schema)
 
@@ -225,10 +284,16 @@ def percentile_rows(summaries: DataFrame, keys: list[str], shares: dict[str, flo
 def group_summaries(rows: DataFrame, keys: list[str], value: str, error: float = ERROR, spare_levels: int = 2) -> DataFrame:
     """One summary per key with a rank error of at most ``error * n``, also after ``spare_levels`` more merges of whole summaries.
 
-    Groups of any size and skew: what meets in a task is at most ``FAN_IN`` summaries. Null keys are a group of their
-    own. An empty table gives no rows. Extra columns, whatever their names, are not read; key columns may not be named as
-    the columns of a summary are.
+    Groups of any size and skew: what a task holds of a key is fewer than ``FAN_IN`` summaries a level, whatever the number
+    of partitions. Slots are as many as the session's shuffle partitions; where a table has more partitions, a slot's
+    summaries stream into one. Null keys are a group of their own. An empty table gives no rows. Extra columns, whatever
+    their names, are not read; key columns may not be named as the columns of a summary are.
     """
     slots = parallelism(rows.sparkSession)
-    size = summary_size(levels_of(slots) + spare_levels, error)
+    size = size_for(slots, error, spare_levels)
     return merge_levels(summarise_groups(rows, keys, value, size, slots), keys, "slot", slots, size)
+
+
+def size_for(slots: int, error: float = ERROR, spare_levels: int = 2) -> int:
+    """Tuples of a summary for ``group_summaries``: levels between slots, one within tasks, and the spare ones."""
+    return summary_size(levels_of(slots) + 1 + spare_levels, error)

@@ -62,7 +62,7 @@ def _timings(spark: SparkSession, d: str) -> DataFrame:
 
 def _percentiles(rows: DataFrame) -> DataFrame:
     per_day = cut_lineage(quantiles.group_summaries(rows, ["stage", "day"], "duration_ms"))  # read twice below
-    size = quantiles.summary_size(quantiles.levels_of(quantiles.parallelism(rows.sparkSession)) + 2, quantiles.ERROR)
+    size = quantiles.size_for(quantiles.parallelism(rows.sparkSession))
     months = quantiles.merge_groups(per_day.withColumn("month", F.date_format("day", "yyyy-MM")), ["stage", "month"], size)
     whole = quantiles.merge_groups(months, ["stage"], size)
     days = quantiles.percentile_rows(per_day, ["stage", "day"], SHARES).withColumn("scope", F.lit("day"))
@@ -74,24 +74,42 @@ def p5_stage_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return _percentiles(_timings(spark, d)).select("stage", "scope", "day", "n", *SHARES, "rank_error")
 
 
+def p5_day_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """The rows by day alone."""
+    held = quantiles.group_summaries(_timings(spark, d), ["stage", "day"], "duration_ms")
+    return quantiles.percentile_rows(held, ["stage", "day"], SHARES).drop("rank_error")
+
+
 def p5_rank_check(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the exact ranks of each stage's percentiles over all days lie within the stated error, and that within 0.1 %."""
+    """Whether the exact ranks of each stage's percentiles, by day and over all days, lie within the stated error, and that within 0.1 %."""
     rows = _timings(spark, d).where(F.col("duration_ms").isNotNull())
-    got = _percentiles(rows).where(F.col("scope") == "all").select(F.col("stage").alias("s"), "n", "rank_error", *SHARES)
-    joined = rows.select("stage", "duration_ms").join(got, F.col("stage").eqNullSafe(F.col("s")))
-    below = [F.count_if(F.col("duration_ms") < F.col(q)).alias(f"b_{q}") for q in SHARES]
-    upto = [F.count_if(F.col("duration_ms") <= F.col(q)).alias(f"u_{q}") for q in SHARES]
-    ranks = joined.groupBy("stage", "n", "rank_error").agg(*below, *upto)
-    fits = F.lit(True)
+    got = cut_lineage(_percentiles(rows).select("scope", F.col("stage").alias("s"), F.col("day").alias("on_day"), "n", "rank_error", *SHARES))
+
+    def ranks(scope: str, *keys: tuple[str, str]) -> DataFrame:
+        same = F.lit(True)
+        for own, theirs in keys:
+            same = same & F.col(own).eqNullSafe(F.col(theirs))
+        joined = rows.select("stage", "day", "duration_ms").join(got.where(F.col("scope") == scope), same)
+        below = [F.count_if(F.col("duration_ms") < F.col(q)).alias(f"b_{q}") for q in SHARES]
+        upto = [F.count_if(F.col("duration_ms") <= F.col(q)).alias(f"u_{q}") for q in SHARES]
+        return joined.groupBy("scope", "s", "on_day", "n", "rank_error").agg(F.count("*").alias("n_exact"), *below, *upto)
+
+    fits = F.col("n") == F.col("n_exact")
     for q, share in SHARES.items():
         rank = F.ceil(F.lit(share) * F.col("n"))
         fits = fits & (rank >= F.col(f"b_{q}") + 1 - F.col("rank_error")) & (rank <= F.col(f"u_{q}") + F.col("rank_error"))
-    return ranks.select("stage", "n", fits.alias("within_stated_error"), (F.col("rank_error") <= F.greatest(F.lit(1), F.col("n") * quantiles.ERROR)).alias("within_bound"))
+    both = ranks("day", ("stage", "s"), ("day", "on_day")).unionByName(ranks("all", ("stage", "s")))
+    within = F.col("rank_error") <= F.greatest(F.lit(1), F.col("n") * quantiles.ERROR)
+    return both.select("scope", F.col("s").alias("stage"), F.col("on_day").alias("day"), "n", fits.alias("within_stated_error"), within.alias("within_bound"))
 
 
-SQL["p5_rank_check"] = """
-SELECT stage, count(*) AS n, true AS within_stated_error, true AS within_bound
-FROM (SELECT DISTINCT timing_id, stage, CAST(recorded_at AS DATE) AS day, duration_ms FROM stage_timings) WHERE duration_ms IS NOT NULL GROUP BY stage"""
+_TIMINGS = "t AS (SELECT stage, CAST(recorded_at AS DATE) AS day, duration_ms FROM (SELECT DISTINCT timing_id, stage, CAST(recorded_at AS DATE) AS recorded_at, duration_ms FROM stage_timings) WHERE duration_ms IS NOT NULL)"
+SQL["p5_rank_check"] = f"""WITH {_TIMINGS}
+SELECT 'day' AS scope, stage, day, count(*) AS n, true AS within_stated_error, true AS within_bound FROM t GROUP BY stage, day
+UNION ALL SELECT 'all', stage, NULL, count(*), true, true FROM t GROUP BY stage"""
+# Exact percentiles: what summaries give without error where a stage has no more rows a day than a summary has tuples (thousands).
+_EXACT = ", ".join(f"quantile_disc(duration_ms, {share})::DOUBLE AS {q}" for q, share in SHARES.items())
+SQL["p5_day_percentiles"] = f"WITH {_TIMINGS} SELECT stage, day, count(*) AS n, {_EXACT} FROM t GROUP BY stage, day"
 
 
 def _places(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -158,5 +176,5 @@ SELECT lang, word, count(DISTINCT r) AS n_documents FROM cut GROUP BY ALL"""
 
 QUERIES |= {
     f.__name__: f
-    for f in (p1_found, p1_defect_rates, p4_found, p4_consistent_regions, p4_consistent_fragments, p5_stage_percentiles, p5_rank_check, p6_containers, p6_fill_report, p7_found, p7_spans, p7_leaked_items, p8_reading_levels, p8_level_agreement, p8_document_frequencies)
+    for f in (p1_found, p1_defect_rates, p4_found, p4_consistent_regions, p4_consistent_fragments, p5_stage_percentiles, p5_day_percentiles, p5_rank_check, p6_containers, p6_fill_report, p7_found, p7_spans, p7_leaked_items, p8_reading_levels, p8_level_agreement, p8_document_frequencies)
 }

@@ -53,3 +53,27 @@ def test_nulls_ties_and_empty(spark):
 @pytest.mark.parametrize("slots,levels", [(1, 0), (2, 1), (64, 1), (65, 2), (5000, 3)])
 def test_levels(slots, levels):
     assert q.levels_of(slots) == levels
+
+
+def test_a_task_gives_one_summary_a_key(spark):
+    """Many chunks, with the pile's bound observed and the error kept; a small bound on what is held gives more summaries, none lost."""
+    df = spark.range(60_000).selectExpr("id % 3 AS g", "hash(id) AS v").repartition(2)
+    own = {g: np.sort([r["v"] for r in df.where(f"g = {g}").collect()]) for g in range(3)}
+    for held, least, most in ((10**9, 6, 6), (900, 7, 60)):
+        parts = q.summarise_groups(df, ["g"], "v", 500, 8, chunk_rows=500, held_tuples=held).cache()
+        assert least <= parts.count() <= most
+        for r in q.percentile_rows(q.merge_levels(parts, ["g"], "slot", 8, 500), ["g"], {"p50": 0.5}).collect():
+            assert r["n"] == 20_000 and r["rank_error"] <= 0.02 * 20_000 and true_rank_gap(own[r["g"]], r["p50"], 10_000) <= r["rank_error"]
+
+
+def test_5000_partitions_hold_few_at_a_time():
+    rng, pile, whole, most = np.random.default_rng(5), q.Pile(4_001), [], 0
+    for _ in range(5_000):
+        values = np.sort(rng.lognormal(5, 2, 40))
+        whole.append(values)
+        pile.add(q.summarise(values, 4_001))
+        most = max(most, max(map(len, pile.levels)))
+    whole, s = np.sort(np.concatenate(whole)), pile.whole()
+    assert most < q.FAN_IN and pile.held() < 3 * q.FAN_IN and s[0] == 200_000 and q.rank_error(s) <= 0.001 * 200_000
+    for share in (0.5, 0.99):
+        assert true_rank_gap(whole, q.answer(s, share), int(np.ceil(share * len(whole)))) <= q.rank_error(s)
