@@ -17,15 +17,15 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-@lru_cache(maxsize=1)
-def _maps() -> tuple[dict[str, str], dict[str, str], str]:
+@lru_cache(maxsize=2)
+def _maps(look: bool) -> tuple[dict[str, str], dict[str, str], str]:
     """Single characters that become one other, those that become several, and those that go; what composition does itself is left out."""
     one, many, gone = {}, {}, []
     for cp in range(sys.maxunicode + 1):
         if 0x3400 <= cp < 0xE000 and not 0xA000 <= cp < 0xAC00 or 0xE000 <= cp < 0xF900 or cp >= 0x30000 and not 0xE0000 <= cp < 0xE0200:
             continue
         char = chr(cp)
-        to = "".join(map(chr, fold_one(cp, look=False)))
+        to = "".join(map(chr, fold_one(cp, look)))
         if not to:
             if cp:
                 gone.append(char)
@@ -34,13 +34,22 @@ def _maps() -> tuple[dict[str, str], dict[str, str], str]:
     return one, many, "".join(gone)
 
 
-def consistent_sql(column: str) -> str:
-    """SQL of the consistent form of a column."""
-    one, many, gone = _maps()
+def _folded_sql(column: str, look: bool) -> str:
+    one, many, gone = _maps(look)
     text = f"translate({column}, {_quoted(''.join(one) + gone)}, {_quoted(''.join(one.values()))})"
     for char, to in many.items():
         text = f"replace({text}, {_quoted(char)}, {_quoted(to)})"
-    text = f"trim(nfc_normalize({text}), ' ')"
+    return f"trim(nfc_normalize({text}), ' ')"
+
+
+def plain_sql(column: str) -> str:
+    """SQL of a column's letters, marks and digits in the form of the look key and lower case."""
+    return f"regexp_replace(lower({_folded_sql(column, True)}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g')"
+
+
+def consistent_sql(column: str) -> str:
+    """SQL of the consistent form of a column."""
+    text = _folded_sql(column, False)
     alike = "".join(KANA_ALIKE)
     to = "".join(KANA_ALIKE.values())
     kana = "ァ-ヺー-ヾㇰ-ㇿ"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import contamination, packing, pair_defects, quantiles, reading_level, tokens
-from quire.llm.forms_sql import consistent_sql
+from quire.llm.forms_sql import consistent_sql, plain_sql
 from quire.llm.visual_text import consistent_form, look_key
 from quire.session import cut_lineage
 from quire.sources.tables import table
@@ -143,10 +143,29 @@ def p7_spans(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d)
 
 
+def p7_exact_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold an item's whole passage letter by letter."""
+    return _leaks(spark, d).where((F.col("part") == "passage") & F.col("exact")).select("doc_id", "item_id").distinct()
+
+
+SQL["p7_exact_passages"] = f"""
+WITH docs AS (SELECT doc_id, {plain_sql('text')} AS t FROM documents), items AS (SELECT item_id, {plain_sql('passage')} AS p FROM eval_items)
+SELECT DISTINCT doc_id, item_id FROM docs JOIN items ON p <> '' AND contains(t, p)"""
+
+
 def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
-    """Documents per leaked item, and the longest stretch."""
-    held = _leaks(spark, d).where(F.col("part") == "passage")
-    return held.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("share").alias("longest_share"))
+    """Per leaked item the documents with its passage, with the longest stretch, and those with its question and with its answer beside it.
+
+    A document counts for question and answer where both stand in it, for an item without an answer where the question does.
+    """
+    items = table(spark, d, "eval_items").where(F.col("item_id").isNotNull()).groupBy(F.col("item_id").alias("of")).agg(F.bool_or(F.length(F.trim("answer")) > 0).alias("has_answer"))
+    part = lambda name: F.max(F.col("part") == name)
+    per = _leaks(spark, d).groupBy("doc_id", "item_id").agg(part("passage").alias("p"), part("question").alias("q"), part("answer").alias("a"), F.max(F.when(F.col("part") == "passage", F.col("share"))).alias("share"))
+    asked = F.col("q") & (F.col("a") | ~F.coalesce("has_answer", F.lit(False)))
+    sums = per.join(items, F.col("item_id") == F.col("of")).groupBy("item_id").agg(
+        F.count_if("p").alias("n_documents"), F.max("share").alias("longest_share"), F.count_if("q").alias("n_with_question"), F.count_if(asked).alias("n_with_question_and_answer")
+    )
+    return sums.where("n_documents + n_with_question > 0")
 
 
 def p8_reading_levels(spark: SparkSession, d: str) -> DataFrame:
@@ -176,5 +195,5 @@ SELECT lang, word, count(DISTINCT r) AS n_documents FROM cut GROUP BY ALL"""
 
 QUERIES |= {
     f.__name__: f
-    for f in (p1_found, p1_defect_rates, p4_found, p4_consistent_regions, p4_consistent_fragments, p5_stage_percentiles, p5_day_percentiles, p5_rank_check, p6_containers, p6_fill_report, p7_found, p7_spans, p7_leaked_items, p8_reading_levels, p8_level_agreement, p8_document_frequencies)
+    for f in (p1_found, p1_defect_rates, p4_found, p4_consistent_regions, p4_consistent_fragments, p5_stage_percentiles, p5_day_percentiles, p5_rank_check, p6_containers, p6_fill_report, p7_found, p7_spans, p7_exact_passages, p7_leaked_items, p8_reading_levels, p8_level_agreement, p8_document_frequencies)
 }

@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from quire.llm.contamination import find_leaks
+from quire.llm import contamination
+from quire.llm.contamination import Leaks, built, find_leaks
 
 DOC = "doc_id long, text string, item_id string"
 ITEM = "item_id long, suite string, lang string, passage string, question string, answer string"
@@ -55,3 +56,41 @@ def test_short_answers_are_listed_as_words(spark):
         (1, 1, "answer", 5, 8), (1, 1, "answer", 28, 31), (2, 2, "answer", 1, 4), (2, 2, "question", 5, 6), (3, 3, "answer", 6, 7),
         (4, 1, "answer", 0, 3), (4, 2, "answer", 3, 6), (5, 5, "answer", 0, 5), (6, 1, "answer", 5, 9),
     }
+
+
+def test_a_short_chinese_question_is_found(spark):
+    items = [(1, "s", "zh", "", "谁打破了那盏古老的灯", "莲雄")]
+    docs = spark.createDataFrame([(1, "昨天，谁打破了，那盏古老的灯？莲雄。", ""), (2, "谁打破了那盏新的灯", "")], DOC)
+    got = {(r["doc_id"], r["part"]) for r in find_leaks(docs, spark.createDataFrame(items, ITEM)).collect()}
+    assert got == {(1, "question"), (1, "answer")}
+
+
+def test_one_automaton_for_many_partitions(spark):
+    """Each worker process builds the block's automaton once, whatever the number of tasks."""
+    import os
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            before = set(contamination._BUILT)
+            built([(r[0], *r[2:]) for r in ITEMS], ("count-test", 0.4, 32))
+            fresh = "count-test" not in {k[0] for k in before}
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([int(fresh)])], ["pid", "n"])
+
+    rows = spark.range(0, 64, 1, 32).mapInArrow(count, "pid long, n long").groupBy("pid").sum("n").collect()
+    assert all(r[1] <= 1 for r in rows) and sum(r[1] for r in rows) < 32
+
+
+def test_seeds_that_many_passages_share(spark):
+    """A common introduction anchors nothing but is still part of a stretch; passages of common seeds alone are found all the same."""
+    own = [" ".join(rng.choice(WORDS) for _ in range(16)) for _ in range(40)]
+    lead = " ".join(rng.choice(WORDS) for _ in range(4))
+    items = [(i, "s", "en", f"{lead} {x}", None, None) for i, x in enumerate(own)] + [(100 + i, "s", "en", lead + " end", None, None) for i in range(3)]
+    leaks = Leaks([(r[0], *r[2:]) for r in items], 0.4, most_shared=5)
+    assert sum(leaks.thin) == 40 and len(leaks.items) == 41 and leaks.items[40] == [100, 101, 102]
+    docs = [(1, f"Now {lead} {own[7]}."), (2, f"only {lead}, no more"), (3, own[3])]
+    df = spark.createDataFrame([(i, t, "") for i, t in docs], DOC)
+    got = {(r["doc_id"], r["item_id"]): (r["share"], r["exact"]) for r in find_leaks(df, spark.createDataFrame(items, ITEM), most_shared=5).collect()}
+    assert got[(1, 7)] == (1.0, True) and got[(3, 3)] == (0.8, False) and {k for k in got if k[0] == 2} == {(2, 100), (2, 101), (2, 102)}
+    assert {k for k in got if k[0] == 1 and k[1] < 100} == {(1, 7)}
