@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.operators import sequence
+
 
 def confusion_matrix(rows: DataFrame, actual: Column, predicted: Column, labels: Sequence[str]) -> DataFrame:
     """``actual, predicted, n`` over the complete grid of ``labels``; other values are left out."""
@@ -75,3 +77,39 @@ def otsu_threshold(rows: DataFrame, bin_of: Column, keys: Sequence[str] = ()) ->
     between = F.try_divide(cross * cross, F.col("w0").cast("double") * (F.col("w") - F.col("w0")))
     best = sums.where(F.col("w0") < F.col("w")).select(*keys, "bin", between.alias("between"))
     return best.groupBy(*keys).agg(F.max_by("bin", F.struct("between", -F.col("bin"))).alias("threshold_bin"))
+
+
+def value_ranks(rows: DataFrame, keys: Sequence[str], value: str, hot_values: int = sequence.HOT_ROWS) -> DataFrame:
+    """``keys, key_text, value, n, upto``: each distinct value of a key with its rows and those up to it.
+
+    Equal values combine before they are shuffled, so what is ranked grows with the distinct values; keys with more than
+    ``hot_values`` of them are ranked in chunks that follow each other, never in one task. Null and nan values are left out.
+    """
+    held = rows.where(F.col(value).isNotNull())
+    if dict(held.dtypes)[value] in ("float", "double"):
+        held = held.where(~F.isnan(value))
+    counts = held.groupBy(*keys, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    one = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("")
+    counts = counts.withColumn("key_text", one)
+    return sequence.running_sum(counts, "key_text", ["value"], F.col("n"), "upto", sequence.hot_keys(counts, "key_text", hot_values))
+
+
+def _at_ranks(ranks: DataFrame, keys: Sequence[str], wanted: dict[str, Column]) -> DataFrame:
+    """``keys, n_rows`` and for each name the value at a rank that the number of rows ``total`` gives."""
+    totals = ranks.groupBy("key_text").agg(F.max("upto").alias("total")).withColumnRenamed("key_text", "of")
+    joined = ranks.join(totals, F.col("key_text") == F.col("of"))
+    picks = [F.min(F.when(F.col("upto") >= rank, F.col("value"))).alias(name) for name, rank in wanted.items()]
+    return joined.groupBy(*keys).agg(F.max("total").alias("n_rows"), *picks)
+
+
+def exact_percentiles(rows: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], hot_values: int = sequence.HOT_ROWS) -> DataFrame:
+    """``keys`` and for each name in ``shares`` the value of rank ceil(share * n), the first for share 0. Keys without a value give no row."""
+    wanted = {name: F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("total"))) for name, share in shares.items()}
+    return _at_ranks(value_ranks(rows, keys, value, hot_values), keys, wanted).drop("n_rows")
+
+
+def exact_medians(rows: DataFrame, keys: Sequence[str], value: str, hot_values: int = sequence.HOT_ROWS) -> DataFrame:
+    """``keys, median``: the middle value, of an even number of rows the mean of the two middle ones."""
+    half = F.col("total") / 2
+    both = _at_ranks(value_ranks(rows, keys, value, hot_values), keys, {"low": F.ceil(half), "high": F.floor(half) + 1})
+    return both.select(*keys, ((F.col("low") + F.col("high")) / 2).alias("median"))

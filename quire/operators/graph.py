@@ -42,11 +42,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")
 
 
-def multi_source_reach(edges: DataFrame, seeds: DataFrame, bound: float, tie: float = 0.5, most_rounds: int = 200) -> DataFrame:
+def multi_source_reach(edges: DataFrame, seeds: DataFrame, bound: float, tie: float = 0.5, most_rounds: int = 10_000) -> DataFrame:
     """``node, owner, cost, contested``: the seed each node is nearest to within ``bound``.
 
     ``edges``: a, b, cost >= 0, undirected; ``seeds``: node, owner. A node is contested if another owner reaches it within
-    ``tie`` of the best. Two owners a node are kept in each round of relaxation, which is enough for both answers.
+    ``tie`` of the best. Two owners a node are kept in each round of relaxation, which is enough for both answers. A path
+    of k edges takes k rounds; more than ``most_rounds`` rounds raise.
     """
     two = edges.select("a", "b", "cost").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cost")).groupBy("a", "b").agg(F.min("cost").alias("step"))
     two = cut_lineage(two)
@@ -66,6 +67,8 @@ def multi_source_reach(edges: DataFrame, seeds: DataFrame, bound: float, tie: fl
         if before is not None and now["n"] == before["n"] and now["h"] == before["h"] and abs(now["c"] - before["c"]) < 1e-9:
             break
         before = now
+    else:
+        raise RuntimeError(f"costs still fall after {most_rounds} rounds")
     ranked = state.groupBy("node").agg(F.min(F.struct("cost", "owner")).alias("m"), F.max("cost").alias("far"), F.count("*").alias("k"))
     return ranked.select("node", "m.owner", "m.cost", ((F.col("k") > 1) & (F.col("far") - F.col("m.cost") <= tie)).alias("contested"))
 

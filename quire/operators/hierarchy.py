@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quire.session import cut_lineage
+from quire.session import cut_lineage, shipped
 
 #: Nodes of a component that one task holds (some 400 bytes each), and path entries of a component that one task writes.
 MAX_COMPONENT = 500_000
@@ -249,7 +249,7 @@ def resolve_hierarchy(links: DataFrame, max_component: int = MAX_COMPONENT, max_
     has_big = not big.isEmpty()
     small = labelled.join(big, "label", "left_anti") if has_big else labelled
     placed = small.select("label", "node_id", "parent_id").repartition("label").sortWithinPartitions("label")
-    walked = placed.mapInPandas(_walk_partition(paths), TREE_SCHEMA if paths else NARROW_SCHEMA)
+    walked = shipped(placed).mapInPandas(_walk_partition(paths), TREE_SCHEMA if paths else NARROW_SCHEMA)
     return walked.unionByName(_double(labelled.join(big, "label", "left_semi"), paths)) if has_big else walked
 
 

@@ -1,8 +1,13 @@
-"""Spatial joins on boxes, blocked by page and grid cell so that only neighbours meet."""
+"""Spatial joins on boxes, blocked by page and grid cell so that only neighbours meet.
+
+Cells come in levels, each twice as wide as the one before. A box lies in at most four cells of the first level that is as
+wide as it is, and of every wider one that occurs, so the cells of a box are few whatever its size; two boxes meet on the
+level of the larger one.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,21 +16,49 @@ from quire.functions.geometry import Box, contains, gap_squared, iou, overlap
 CELL = 64
 
 
-def _cells(df: DataFrame, prefix: str, grow: int, cell: int) -> DataFrame:
-    """A row for every grid cell that a box touches once grown on all sides."""
+def _level(prefix: str, grow: int, cell: int) -> Column:
+    """The first level whose cells are as wide and high as a grown box; null for a box without a size."""
+    b = Box(prefix)
+    return F.greatest(F.lit(0), F.ceil(F.log2((F.greatest(b.w, b.h, F.lit(0)) + 2 * grow + 1) / cell))).cast("int")
+
+
+def _width(cell: int) -> Column:
+    return F.expr(f"{cell} * shiftleft(1L, level)")
+
+
+def _cells(df: DataFrame, prefix: str, grow: int, cell: int, levels: list[int]) -> DataFrame:
+    """A row for every cell of the levels in use that a box touches once grown on all sides."""
     b = Box(prefix)
-    span = lambda at, size: F.sequence(F.floor((at - grow) / cell), F.floor((at + size + grow) / cell))
-    return df.withColumn("cx", F.explode(span(b.x, b.w))).withColumn("cy", F.explode(span(b.y, b.h)))
+    wide = _width(cell)
+    span = lambda at, size: F.sequence(F.floor((at - grow) / wide), F.floor((at + size + grow) / wide))
+    own = df.withColumn("own_level", _level(prefix, grow, cell)).where(b.x.isNotNull() & b.y.isNotNull() & b.w.isNotNull() & b.h.isNotNull() & (b.w >= 0) & (b.h >= 0))
+    each = own.withColumn("level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda x: x >= F.col("own_level"))))
+    return each.withColumn("cx", F.explode(span(b.x, b.w))).withColumn("cy", F.explode(span(b.y, b.h)))
+
+
+def _levels_in_use(frames: list[DataFrame]) -> list[int]:
+    """Distinct levels of boxes; they are as few as the doublings from the smallest box to the largest."""
+    found = frames[0]
+    for f in frames[1:]:
+        found = found.unionByName(f)
+    return sorted(r["level"] for r in found.distinct().collect() if r["level"] is not None)
 
 
 def _meet(left: DataFrame, right: DataFrame, a: str, b: str, grow: int, cell: int) -> DataFrame:
-    """Pairs of a page whose boxes share a cell, each pair once: in the first cell, by both axes, that the two share."""
+    """Pairs of a page whose boxes share a cell, each pair once: in the first cell, by both axes, that the two share.
+
+    Boxes without a place or size, or of a negative one, meet none.
+    """
     one, two = Box(a), Box(b)
-    l_cells, r_cells = _cells(left, a, grow, cell), _cells(right, b, 0, cell).withColumnsRenamed({"cx": "cx2", "cy": "cy2"})
-    first_x = F.greatest(F.floor((one.x - grow) / cell), F.floor(two.x / cell))
-    first_y = F.greatest(F.floor((one.y - grow) / cell), F.floor(two.y / cell))
-    same = (F.col(f"{a}page") == F.col(f"{b}page")) & (F.col("cx") == F.col("cx2")) & (F.col("cy") == F.col("cy2"))
-    return l_cells.join(r_cells, same).where((F.col("cx") == first_x) & (F.col("cy") == first_y)).drop("cx", "cy", "cx2", "cy2")
+    levels = _levels_in_use([left.select(_level(a, grow, cell).alias("level")), right.select(_level(b, 0, cell).alias("level"))]) or [0]
+    l_cells = _cells(left, a, grow, cell, levels)
+    r_cells = _cells(right, b, 0, cell, levels).withColumnsRenamed({c: f"{c}2" for c in ("cx", "cy", "level", "own_level")})
+    wide = _width(cell)
+    first_x = F.greatest(F.floor((one.x - grow) / wide), F.floor(two.x / wide))
+    first_y = F.greatest(F.floor((one.y - grow) / wide), F.floor(two.y / wide))
+    same = (F.col(f"{a}page") == F.col(f"{b}page")) & (F.col("level") == F.col("level2")) & (F.col("cx") == F.col("cx2")) & (F.col("cy") == F.col("cy2"))
+    met = l_cells.join(r_cells, same).where(F.col("level") == F.greatest("own_level", "own_level2"))
+    return met.where((F.col("cx") == first_x) & (F.col("cy") == first_y)).drop("cx", "cy", "cx2", "cy2", "level", "level2", "own_level", "own_level2")
 
 
 def _renamed(boxes: DataFrame, prefix: str) -> DataFrame:

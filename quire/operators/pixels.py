@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from quire.session import shipped
+
 # Weights of the Rec. 601 luma, and the sRGB to XYZ matrix under D65 with its white point.
 LUMA = np.array([0.299, 0.587, 0.114])
 TO_XYZ = np.array([[0.4124564, 0.3575761, 0.1804375], [0.2126729, 0.7151522, 0.0721750], [0.0193339, 0.1191920, 0.9503041]])
@@ -28,7 +30,7 @@ def per_image(rows: DataFrame, kernel: Callable[[pd.Series], dict], schema: str)
         for batch in batches:
             yield pd.DataFrame([kernel(r) for _, r in batch.iterrows()], columns=columns)
 
-    return rows.mapInPandas(apply, schema)
+    return shipped(rows).mapInPandas(apply, schema)
 
 
 def image_of(data: bytes, height: int, width: int) -> np.ndarray:
@@ -138,7 +140,11 @@ def gradient(tone: np.ndarray) -> np.ndarray:
     return np.hypot(gx, gy)
 
 
-def watershed(height: np.ndarray, seeds: np.ndarray, most_pixels: int = 262_144, most_entries: int = 500_000) -> np.ndarray | None:
+# The budget of a flooding, in pixels and queue entries.
+MOST_PIXELS, MOST_ENTRIES = 262_144, 500_000
+
+
+def watershed(height: np.ndarray, seeds: np.ndarray, most_pixels: int = MOST_PIXELS, most_entries: int = MOST_ENTRIES) -> np.ndarray | None:
     """Labels by flooding from the positive seeds in order of height, first come first; null past a budget of pixels or queue entries."""
     if height.size > most_pixels:
         return None
@@ -192,7 +198,7 @@ def difference_boxes(a: np.ndarray, b: np.ndarray, limit: float = 24, least: int
 
 
 def perceptual_hash(image: np.ndarray, size: int = 32, keep: int = 8) -> str:
-    """64 bits, as hex: low DCT coefficients of the shrunken luma against their median."""
+    """64 bits, as hex: low DCT coefficients of the shrunken luma against the median of those outside the first row and column."""
     tone = grey(image)
     rows, cols = (np.minimum(np.arange(size) * n // size, n - 1) for n in tone.shape)
     rows_to, cols_to = (np.maximum((np.arange(size) + 1) * n // size, f + 1) for n, f in zip(tone.shape, (rows, cols)))
@@ -201,8 +207,8 @@ def perceptual_hash(image: np.ndarray, size: int = 32, keep: int = 8) -> str:
     small = box / np.outer(rows_to - rows, cols_to - cols)
     k = np.arange(size)
     basis = np.cos(np.pi * np.outer(k, 2 * k + 1) / (2 * size))
-    low = (basis @ small @ basis.T)[:keep, :keep].ravel()
-    bits = low > np.median(low)
+    low = (basis @ small @ basis.T)[:keep, :keep] * np.outer(*[np.where(k[:keep] == 0, np.sqrt(1 / size), np.sqrt(2 / size))] * 2)
+    bits = (low > np.median(low[1:, 1:])).ravel()
     return f"{int(''.join('1' if b else '0' for b in bits), 2):0{keep * keep // 4}x}"
 
 

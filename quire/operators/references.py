@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import parallelism
+from quire.session import parallelism, shipped
 
 PARENTS_PER_RANGE = 200_000
 MAX_RANGES = 100_000
@@ -137,7 +137,7 @@ def find_orphans(
     else:
         ref, held = ref.withColumn("salt", F.lit(0)), held.withColumn("salt", F.lit(0))
     placed = held.unionByName(ref).repartition(n_ranges, "range_id", "salt").sortWithinPartitions("range_id", "salt", "is_ref")
-    return placed.mapInPandas(_probe_partition, MISS_SCHEMA).distinct()
+    return shipped(placed).mapInPandas(_probe_partition, MISS_SCHEMA).distinct()
 
 
 def orphan_report(refs: DataFrame, orphans: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.session import cut_lineage, parallelism
+from quire.session import cut_lineage, parallelism, shipped
 
 
 HOT_ROWS = 5_000_000
@@ -114,7 +114,7 @@ def by_group(rows: DataFrame, key: str, body, schema: str) -> DataFrame:
             for _, g in pd.concat(held).groupby(key, dropna=False, sort=False):
                 yield body(g)
 
-    return rows.repartition(key).sortWithinPartitions(key).mapInPandas(partition, schema)
+    return shipped(rows.repartition(key).sortWithinPartitions(key)).mapInPandas(partition, schema)
 
 
 def _same(a: object, b: object) -> bool:
@@ -152,7 +152,7 @@ def monotonic_alignment(scores: np.ndarray, gap: float = -0.22) -> list[tuple[in
         if i and j and best[i, j] == best[i - 1, j - 1] + scores[i - 1, j - 1]:
             i, j = i - 1, j - 1
             out.append((i, j))
-        elif i and best[i, j] == best[i - 1, j] + gap:
+        elif i and (not j or best[i, j] == best[i - 1, j] + gap):
             i -= 1
             out.append((i, None))
         else:

@@ -62,14 +62,16 @@ def check_ratio_text(spark: SparkSession, d: str) -> DataFrame:
 @R.query("""SELECT l_returnflag, median(l_quantity) AS median_quantity, CAST(trunc(median(l_extendedprice)) AS BIGINT) AS whole_median, max(l_quantity) AS max_quantity, round(avg(l_quantity), 6) AS mean_quantity
 FROM lineitem GROUP BY 1""")
 def median_max_mean(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(
-        F.median("l_quantity").alias("median_quantity"), F.median("l_extendedprice").cast("long").alias("whole_median"), F.max("l_quantity").alias("max_quantity"), F.round(F.avg("l_quantity"), 6).alias("mean_quantity")
-    )
+    lines = table(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
+    quantity, price = (evaluate.exact_medians(lines, ["l_returnflag"], c).withColumnsRenamed({"l_returnflag": f"{c}_of", "median": f"{c}_median"}) for c in ("l_quantity", "l_extendedprice"))
+    rest = lines.groupBy("l_returnflag").agg(F.max("l_quantity").alias("max_quantity"), F.round(F.avg("l_quantity"), 6).alias("mean_quantity"))
+    joined = rest.join(quantity, F.col("l_returnflag").eqNullSafe(F.col("l_quantity_of"))).join(price, F.col("l_returnflag").eqNullSafe(F.col("l_extendedprice_of")))
+    return joined.select("l_returnflag", F.col("l_quantity_median").alias("median_quantity"), F.col("l_extendedprice_median").cast("long").alias("whole_median"), "max_quantity", "mean_quantity")
 
 
 @R.query("SELECT l_returnflag, l_linestatus, quantile_disc(l_extendedprice, 0.95) AS p95 FROM lineitem GROUP BY ALL")
 def p95_nearest_rank(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.expr("percentile_disc(0.95) within group (order by l_extendedprice)").alias("p95"))
+    return evaluate.exact_percentiles(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", {"p95": 0.95})
 
 
 @R.query("""SELECT asset_id, string_agg(expected, chr(10) ORDER BY CASE WHEN direction = 'vertical' THEN -bbox.x ELSE bbox.y END, CASE WHEN direction = 'vertical' THEN bbox.y ELSE bbox.x END, region_id) AS assembled
@@ -246,45 +248,17 @@ def dominant_and_median_pick(spark: SparkSession, d: str) -> DataFrame:
     return selection.dominant_and_median(table(spark, d, "documents").where("source is not null").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars")
 
 
-_PARTS = """x AS (SELECT DISTINCT region_id AS item, asset_id AS e FROM evaluation_regions WHERE region_id > 'reg-4'), y AS (SELECT DISTINCT region_id AS item, asset_id || direction AS a FROM evaluation_regions WHERE region_id < 'reg-f'),
+_PARTS = """x AS (SELECT DISTINCT region_id AS item, asset_id AS e FROM evaluation_regions), y AS (SELECT DISTINCT region_id AS item, asset_id || direction AS a FROM evaluation_regions),
 o AS (SELECT e, a, count(*) AS n_shared FROM x FULL JOIN y ON x.item = y.item GROUP BY ALL)"""
 
 
-def _overlaps(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "evaluation_regions").select("region_id", "asset_id", "direction")
-    expected = rows.where("region_id > 'reg-4'").select("region_id", F.col("asset_id").alias("g"))
-    actual = rows.where("region_id < 'reg-f'").select("region_id", F.concat("asset_id", "direction").alias("g"))
-    return evaluate.partition_overlaps(expected, actual, "region_id", "g")
-
-
-@R.query(f"WITH {_PARTS} SELECT e AS expected_group, a AS actual_group, n_shared FROM o")
-def group_region_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return _overlaps(spark, d)
-
-
-@R.query(f"""WITH {_PARTS}, met AS (SELECT e, CAST(sum(n_shared) AS BIGINT) AS n_members, count(a) AS n_actual FROM o WHERE e IS NOT NULL GROUP BY 1), mg AS (SELECT a, count(*) AS k FROM o WHERE a IS NOT NULL GROUP BY 1),
-sh AS (SELECT e, max(k) AS k FROM o JOIN mg ON o.a = mg.a WHERE e IS NOT NULL GROUP BY 1)
-SELECT met.e AS expected_group, n_members, n_actual, CASE WHEN n_actual = 0 THEN 'miss' WHEN n_actual > 1 AND k > 1 THEN 'split_merge' WHEN n_actual > 1 THEN 'split' WHEN k > 1 THEN 'merge' ELSE 'hit' END AS outcome FROM met LEFT JOIN sh ON met.e = sh.e""")
-def cluster_evaluation(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.judge_groups(_overlaps(spark, d))
-
-
-@R.query(f"WITH {_PARTS} SELECT a AS actual_group, count(e) AS n_expected, count(e) > 1 AS merges, bool_or(e IS NULL) AS has_extra FROM o WHERE a IS NOT NULL GROUP BY 1")
-def merge_split_check(spark: SparkSession, d: str) -> DataFrame:
-    held = _overlaps(spark, d).where("actual_group is not null")
-    return held.groupBy("actual_group").agg(F.count("expected_group").alias("n_expected"), (F.count("expected_group") > 1).alias("merges"), F.bool_or(F.col("expected_group").isNull()).alias("has_extra"))
-
-
-_WHOLE_PARTS = _PARTS.replace(" WHERE region_id > 'reg-4'", "").replace(" WHERE region_id < 'reg-f'", "")
-
-
 def whole_overlaps(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Overlaps of an asset's regions, expected together, with those of one direction, over all regions of both sides."""
     a = expected.select("region_id", F.col("asset_id").alias("g"))
     return evaluate.partition_overlaps(a, actual.select("region_id", F.concat("asset_id", "direction").alias("g")), "region_id", "g")
 
 
-def _whole(spark: SparkSession, d: str) -> DataFrame:
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "evaluation_regions").select("region_id", "asset_id", "direction")
     return whole_overlaps(rows, rows)
 
@@ -295,22 +269,21 @@ def merges_and_extras(overlaps: DataFrame) -> DataFrame:
     return held.groupBy("actual_group").agg(F.count("expected_group").alias("n_expected"), (F.count("expected_group") > 1).alias("merges"), F.bool_or(F.col("expected_group").isNull()).alias("has_extra"))
 
 
-@R.query(SQL["group_region_overlap"].replace(_PARTS, _WHOLE_PARTS))
-def group_region_overlap_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``group_region_overlap`` over all regions."""
-    return _whole(spark, d)
+@R.query(f"WITH {_PARTS} SELECT e AS expected_group, a AS actual_group, n_shared FROM o")
+def group_region_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return _overlaps(spark, d)
 
 
-@R.query(SQL["cluster_evaluation"].replace(_PARTS, _WHOLE_PARTS))
-def cluster_evaluation_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``cluster_evaluation`` over all regions."""
-    return evaluate.judge_groups(_whole(spark, d))
+@R.query(f"""WITH {_PARTS}, met AS (SELECT e, CAST(sum(n_shared) AS BIGINT) AS n_members, count(a) AS n_actual FROM o WHERE e IS NOT NULL GROUP BY 1), mg AS (SELECT a, count(*) AS k FROM o WHERE a IS NOT NULL GROUP BY 1),
+sh AS (SELECT e, max(k) AS k FROM o JOIN mg ON o.a = mg.a WHERE e IS NOT NULL GROUP BY 1)
+SELECT met.e AS expected_group, n_members, n_actual, CASE WHEN n_actual = 0 THEN 'miss' WHEN n_actual > 1 AND k > 1 THEN 'split_merge' WHEN n_actual > 1 THEN 'split' WHEN k > 1 THEN 'merge' ELSE 'hit' END AS outcome FROM met LEFT JOIN sh ON met.e = sh.e""")
+def cluster_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.judge_groups(_overlaps(spark, d))
 
 
-@R.query(SQL["merge_split_check"].replace(_PARTS, _WHOLE_PARTS))
-def merge_split_check_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``merge_split_check`` over all regions."""
-    return merges_and_extras(_whole(spark, d))
+@R.query(f"WITH {_PARTS} SELECT a AS actual_group, count(e) AS n_expected, count(e) > 1 AS merges, bool_or(e IS NULL) AS has_extra FROM o WHERE a IS NOT NULL GROUP BY 1")
+def merge_split_check(spark: SparkSession, d: str) -> DataFrame:
+    return merges_and_extras(_overlaps(spark, d))
 
 
 @R.query("""SELECT asset_id, count(DISTINCT direction) = 1 AS same, min(direction) AS direction FROM evaluation_regions GROUP BY 1""")

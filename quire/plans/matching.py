@@ -89,17 +89,10 @@ def roi_budget(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "evaluation_regions").select("region_id", F.greatest(F.lit(0), b.x - 32).alias("left_edge"), F.greatest(F.lit(0), b.y - 32).alias("top_edge"), area.alias("padded_area"), (area > 40000).alias("over_budget"))
 
 
-@R.query(f"""WITH {_READS}, o AS (SELECT page, CASE WHEN h >= w * 1.25 THEN 1 ELSE 0 END AS v, CASE WHEN h < w * 1.25 AND w >= h * 1.25 THEN 1 ELSE 0 END AS z FROM f)
+@R.query(f"""WITH {_ALL_READS}, o AS (SELECT page, CASE WHEN h >= w * 1.25 THEN 1 ELSE 0 END AS v, CASE WHEN h < w * 1.25 AND w >= h * 1.25 THEN 1 ELSE 0 END AS z FROM f)
 SELECT page, CAST(sum(v) AS BIGINT) AS n_vertical, CAST(sum(z) AS BIGINT) AS n_horizontal, CASE WHEN sum(v) > sum(z) THEN 'vertical' WHEN sum(z) > sum(v) THEN 'horizontal' ELSE 'uncertain' END AS vote FROM o GROUP BY 1""")
 def orientation_vote(spark: SparkSession, d: str) -> DataFrame:
-    way = orientation(Box(""))
-    v, z = F.count_if(way == "vertical"), F.count_if(way == "horizontal")
-    return readings(spark, d).groupBy("page").agg(v.alias("n_vertical"), z.alias("n_horizontal"), F.when(v > z, "vertical").when(z > v, "horizontal").otherwise("uncertain").alias("vote"))
-
-
-@R.query(SQL["orientation_vote"].replace(_READS, _ALL_READS))
-def orientation_vote_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``orientation_vote`` in which every distinct reading has a vote."""
+    """The direction of most readings of each page; every distinct reading has a vote."""
     return votes(all_readings(table(spark, d, "fragments")))
 
 
@@ -109,15 +102,10 @@ def theta_best_match(spark: SparkSession, d: str) -> DataFrame:
     return pairs.best_matches(regions(spark, d), readings(spark, d))
 
 
-@R.query(f"""WITH {_REGIONS}, {_READS}, m AS (SELECT a.id, b.id AS c FROM f a JOIN r b ON a.page = b.page AND a.x >= b.x - 3 AND a.y >= b.y - 3 AND a.x + a.w <= b.x + b.w + 3 AND a.y + a.h <= b.y + b.h + 3)
+@R.query(f"""WITH {_REGIONS}, {_ALL_READS}, m AS (SELECT a.id, b.id AS c FROM f a JOIN r b ON a.page = b.page AND a.x >= b.x - 3 AND a.y >= b.y - 3 AND a.x + a.w <= b.x + b.w + 3 AND a.y + a.h <= b.y + b.h + 3)
 SELECT f.id AS inner, CASE WHEN count(c) = 1 THEN min(c) END AS container, CASE count(c) WHEN 0 THEN 'none' WHEN 1 THEN 'unique' ELSE 'uncertain' END AS status FROM f LEFT JOIN m ON f.id = m.id GROUP BY 1""".replace("AS inner", 'AS "inner"'))
 def unique_container_join(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.unique_containers(readings(spark, d), regions(spark, d))
-
-
-@R.query(SQL["unique_container_join"].replace(_READS, _ALL_READS))
-def unique_container_join_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``unique_container_join`` with a row for every distinct reading."""
+    """The one region that holds each distinct reading."""
     return pairs.unique_containers(all_readings(table(spark, d, "fragments")), regions(spark, d))
 
 
@@ -164,20 +152,19 @@ def undirected_edge_max(spark: SparkSession, d: str) -> DataFrame:
     return graph.undirected_max(edges, "l_suppkey", "other", "l_quantity")
 
 
-@R.query(f"""WITH {_REGIONS}, {_READS}, m AS (SELECT a.id AS node, b.id AS seed, pow(a.x - b.x, 2)::BIGINT + pow(a.y - b.y, 2)::BIGINT AS d2 FROM f a JOIN r b ON a.page = b.page)
+@R.query(f"""WITH {_REGIONS}, {_ALL_READS}, m AS (SELECT a.id AS node, b.id AS seed, pow(a.x - b.x, 2)::BIGINT + pow(a.y - b.y, 2)::BIGINT AS d2 FROM f a JOIN r b ON a.page = b.page)
 SELECT node, arg_min(seed, (d2, seed)) AS seed, min(d2) AS distance_squared FROM m WHERE d2 <= 10000 GROUP BY 1""")
 def nearest_seed(spark: SparkSession, d: str) -> DataFrame:
-    nodes = readings(spark, d).select(F.col("id").alias("node"), "page", "x", "y")
-    return graph.nearest_seed(nodes, regions(spark, d).select(F.col("id").alias("seed"), "page", "x", "y"), "page", "x", "y", 100, 100)
-
-
-@R.query(SQL["nearest_seed"].replace(_READS, _ALL_READS))
-def nearest_seed_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``nearest_seed`` of every distinct reading."""
+    """The region nearest to each distinct reading."""
     return seeds_of(all_readings(table(spark, d, "fragments")), regions(spark, d))
 
 
-@R.query()
+@R.query(f"""WITH RECURSIVE {_REGIONS}, e AS (SELECT a.id AS u, b.id AS v, sqrt(({_GAP})::DOUBLE) AS step FROM r a JOIN r b ON a.page = b.page AND a.id <> b.id WHERE {_GAP} <= 14400),
+ends AS (SELECT page, arg_min(id, (y, x, id)) AS lo, arg_max(id, (y, x, id)) AS hi FROM r GROUP BY 1), seeds AS (SELECT lo AS s FROM ends UNION SELECT hi FROM ends),
+t(node, owner, cost) USING KEY (node, owner) AS (SELECT s, s, 0.0::DOUBLE FROM seeds
+  UNION SELECT e.v, t.owner, min(t.cost + e.step) FROM t JOIN e ON t.node = e.u LEFT JOIN recurring.t old ON old.node = e.v AND old.owner = t.owner WHERE t.cost + e.step <= 400 AND (old.cost IS NULL OR t.cost + e.step < old.cost) GROUP BY e.v, t.owner),
+k AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY cost, owner) AS rn FROM t)
+SELECT a.node, a.owner, a.cost, coalesce(b.cost - a.cost <= 0.5, false) AS contested FROM (FROM k WHERE rn = 1) a LEFT JOIN (FROM k WHERE rn = 2) b ON a.node = b.node""")
 def multi_source_reach(spark: SparkSession, d: str) -> DataFrame:
     """Regions reached from each page's first region and its last over gaps of up to 120, within a path of 400."""
     boxes = regions(spark, d)
@@ -210,18 +197,29 @@ def bit_signature(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(f"WITH {_BITS}, c AS (SELECT high, low, min(vec_id) AS id FROM s GROUP BY 1, 2) SELECT a.id AS a_id, b.id AS b_id, bit_count(xor(a.high, b.high)) + bit_count(xor(a.low, b.low)) AS distance FROM c a JOIN c b ON a.id < b.id WHERE bit_count(xor(a.high, b.high)) + bit_count(xor(a.low, b.low)) <= 7")
 def hamming_near_dup(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of different signatures at most 7 bits apart; vectors of one signature stand under their smallest id.
+    """Pairs of different signatures at most 7 bits apart; vectors of one signature stand under their smallest id."""
+    return near_signatures(table(spark, d, "embeddings").select("vec_id", *signature_words()))
+
+
+def near_signatures(rows: DataFrame) -> DataFrame:
+    """``a_id, b_id, distance`` of the classes of ``rows(vec_id, high, low)`` whose 64 bits differ in 1 to 7 places.
 
-    Of eight bands of 8 bits at least one must be equal; a pair is emitted by its first equal band.
+    Of three bands of 22, 21 and 21 bits one differs in at most 2 places, so both signatures have a word within one bit
+    of their own in common there: each is placed under its 23 or 22 nearest words of each band, and only those of one word
+    meet. A class is named by its smallest id; rows without a signature pair with none.
     """
-    classes = table(spark, d, "embeddings").select("vec_id", *signature_words()).groupBy("high", "low").agg(F.min("vec_id").alias("id"))
-    bands = F.array(*[F.shiftright(w, s).bitwiseAND(255) for w in ("high", "low") for s in (24, 16, 8, 0)])
-    left = classes.select(F.col("id").alias("a_id"), F.col("high").alias("ah"), F.col("low").alias("al"), bands.alias("ab"), F.posexplode(bands).alias("band", "key"))
-    right = left.select(F.col("a_id").alias("b_id"), F.col("ah").alias("bh"), F.col("al").alias("bl"), F.col("ab").alias("bb"), F.col("band").alias("band2"), F.col("key").alias("key2"))
-    met = left.join(right, (F.col("band") == F.col("band2")) & (F.col("key") == F.col("key2")) & (F.col("a_id") < F.col("b_id")))
-    first = reduce(lambda acc, i: F.when(F.col("ab")[i] == F.col("bb")[i], i).otherwise(acc), range(7, -1, -1), F.lit(-1))
-    far = F.bit_count(F.col("ah").bitwiseXOR(F.col("bh"))) + F.bit_count(F.col("al").bitwiseXOR(F.col("bl")))
-    return met.where(F.col("band") == first).select("a_id", "b_id", far.alias("distance")).where("distance <= 7")
+    classes = rows.where(F.col("high").isNotNull() & F.col("low").isNotNull()).groupBy("high", "low").agg(F.min("vec_id").alias("id"))
+    bits = F.shiftleft("high", 32).bitwiseOR(F.col("low"))
+    keys = []
+    for band, (shift, width) in enumerate(((42, 22), (21, 21), (0, 21))):
+        word = F.shiftrightunsigned("bits", shift).bitwiseAND((1 << width) - 1)
+        near = F.transform(F.array(*[F.lit(0), *[F.lit(1 << i) for i in range(width)]]), lambda x, word=word: word.bitwiseXOR(x.cast("long")))
+        keys.append(F.transform(near, lambda x, band=band: x * 4 + band))
+    placed = classes.select("id", bits.alias("bits")).select("id", "bits", F.explode(F.concat(*keys)).alias("key"))
+    left, right = (placed.select(F.col("id").alias(f"{p}_id"), F.col("bits").alias(f"{p}_bits"), F.col("key").alias(f"{p}_key")) for p in "ab")
+    met = left.join(right, (F.col("a_key") == F.col("b_key")) & (F.col("a_id") < F.col("b_id")))
+    far = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))).alias("distance")
+    return met.select("a_id", "b_id", far).where("distance <= 7").distinct()
 
 
 @R.query(f"""WITH RECURSIVE {_REGIONS}, e AS (SELECT a.id AS u, b.id AS v FROM r a JOIN r b ON a.page = b.page AND a.id <> b.id WHERE {_GAP} <= 900),

@@ -40,13 +40,6 @@ def scoped_or_global_filter(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("artifact_id").agg(F.count("*").alias("n_rows"))
 
 
-@R.query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01'""")
-def ordered_children(spark: SparkSession, d: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    return table(spark, d, "lineitem").where("l_shipdate >= timestamp_ntz '1998-01-01'").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", place.alias("place"))
-
-
 def numbered_lines(lines: DataFrame) -> DataFrame:
     """Lines of each order with their ``place`` among all of its lines."""
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
@@ -54,8 +47,8 @@ def numbered_lines(lines: DataFrame) -> DataFrame:
 
 
 @R.query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place FROM lineitem""")
-def ordered_children_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``ordered_children`` over the lines of every date."""
+def ordered_children(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of every order with their places."""
     return numbered_lines(table(spark, d, "lineitem"))
 
 
@@ -75,16 +68,6 @@ def subset_update_merge(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("c_custkey", "c_name", F.coalesce("o_orderpriority", "c_mktsegment").alias("c_mktsegment"))
 
 
-@R.query("""SELECT doc_id, i AS line_no, regexp_extract(l, '^([A-Za-z][A-Za-z-]{1,20}): (.+)$', 1) AS label, length(regexp_extract(l, '^([A-Za-z][A-Za-z-]{1,20}): (.+)$', 2)) AS n_value
-FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE lang = 'en' AND source = 'scene_transcript')
-WHERE regexp_matches(l, '^([A-Za-z][A-Za-z-]{1,20}): (.+)$')""")
-def regex_form_parse(spark: SparkSession, d: str) -> DataFrame:
-    pattern = r"^([A-Za-z][A-Za-z-]{1,20}): (.+)$"
-    docs = table(spark, d, "documents").where((F.col("lang") == "en") & (F.col("source") == "scene_transcript"))
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "l")).where(F.col("l").rlike(pattern))
-    return lines.select("doc_id", (F.col("i") + 1).alias("line_no"), F.regexp_extract("l", pattern, 1).alias("label"), F.length(F.regexp_extract("l", pattern, 2)).alias("n_value"))
-
-
 def label_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, line_no, label, n_value`` of every ``Label: value`` line; only a line feed ends a line. A null text has no lines."""
     pattern = r"(?d)^([A-Za-z][A-Za-z-]{1,20}): (.+)$"
@@ -94,8 +77,8 @@ def label_lines(docs: DataFrame) -> DataFrame:
 
 @R.query("""SELECT doc_id, i AS line_no, regexp_extract(l, '^([A-Za-z][A-Za-z-]{1,20}): (.+)$', 1) AS label, length(regexp_extract(l, '^([A-Za-z][A-Za-z-]{1,20}): (.+)$', 2)) AS n_value
 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE regexp_matches(l, '^([A-Za-z][A-Za-z-]{1,20}): (.+)$')""")
-def regex_form_parse_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``regex_form_parse`` over the documents of every language and source."""
+def regex_form_parse(spark: SparkSession, d: str) -> DataFrame:
+    """The labelled lines of every document."""
     return label_lines(table(spark, d, "documents"))
 
 

@@ -83,14 +83,6 @@ def cas_batch(spark: SparkSession, d: str) -> DataFrame:
     return ledger.compare_and_set(rows.where("event_id >= 5000"), state, "user_id", "event_type", "event_type").select("event_id", "verdict")
 
 
-@R.query("""SELECT c_custkey, coalesce(p, c_mktsegment) AS label FROM (SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 2 = 0) c FULL JOIN (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS p FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1) ON c_custkey = o_custkey
-WHERE c_custkey IS NOT NULL UNION ALL SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) FROM orders WHERE o_orderkey % 5 = 0 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) GROUP BY 1""")
-def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
-    base = table(spark, d, "customer").where("c_custkey % 2 = 0").select("c_custkey", F.lit(0).cast("long").alias("at"), F.col("c_mktsegment").alias("label"))
-    changes = table(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("at"), F.col("o_orderpriority").alias("label"))
-    return ledger.upsert_latest(base, changes, ["c_custkey"], "at").select("c_custkey", "label")
-
-
 def upserted(customers: DataFrame, orders: DataFrame) -> DataFrame:
     """``c_custkey, label``: every customer's segment or, where there are orders of that key, the priority of the last one."""
     base = customers.select("c_custkey", F.lit(0).cast("long").alias("at"), F.col("c_mktsegment").alias("label"))
@@ -100,7 +92,7 @@ def upserted(customers: DataFrame, orders: DataFrame) -> DataFrame:
 
 @R.query("""SELECT coalesce(c_custkey, k) AS c_custkey, CASE WHEN k IS NULL THEN c_mktsegment ELSE p END AS label
 FROM customer FULL JOIN (SELECT o_custkey AS k, arg_max(o_orderpriority, o_orderkey) AS p FROM orders GROUP BY 1) ON c_custkey = k""")
-def upsert_latest_whole(spark: SparkSession, d: str) -> DataFrame:
+def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     """All orders upserted into all customers."""
     return upserted(table(spark, d, "customer"), table(spark, d, "orders"))
 
@@ -171,7 +163,10 @@ def natural_sort(spark: SparkSession, d: str) -> DataFrame:
     return runs.withColumn("place", F.row_number().over(Window.partitionBy("project_id").orderBy(exprs.natural_key(F.col("run_id")), "run_id")))
 
 
-@R.query()
+@R.query("""WITH g AS (SELECT asset_id, list([{id: region_id, y: bbox.y, h: bbox.height, seg: 0}] ORDER BY bbox.y, region_id) AS rows FROM evaluation_regions GROUP BY 1),
+s AS (SELECT asset_id, list_reduce(rows, lambda acc, x: list_append(acc, {id: x[1].id, y: x[1].y, h: x[1].h, seg: acc[-1].seg + CASE WHEN
+  abs(x[1].y - list_median(list_transform(list_filter(acc, lambda k: k.seg = acc[-1].seg), lambda k: k.y))) > greatest(48, 0.65::DOUBLE * list_median(list_transform(list_filter(acc, lambda k: k.seg = acc[-1].seg), lambda k: k.h))) THEN 1 ELSE 0 END})) AS done FROM g)
+SELECT asset_id, r.id AS region_id, r.seg AS segment FROM (SELECT asset_id, unnest(done) AS r FROM s)""")
 def jump_segments(spark: SparkSession, d: str) -> DataFrame:
     """Segments of an asset's regions from top to bottom."""
     rows = table(spark, d, "evaluation_regions").select("asset_id", "region_id", F.col("bbox.y").alias("y"), F.col("bbox.height").alias("h"))
@@ -188,7 +183,13 @@ def _boxes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "fragments").select(F.col("asset_id").alias("page"), F.col("fragment_id").alias("id"), b.x.alias("x"), b.y.alias("y"), b.width.alias("w"), b.height.alias("h")).distinct()
 
 
-@R.query()
+@R.query("""WITH b AS (SELECT DISTINCT asset_id AS page, fragment_id AS id, bbox.x AS x, bbox.y AS y, bbox.width AS w, bbox.height AS h FROM fragments),
+g AS (SELECT page, list([{id: id, x: x::DOUBLE, y: y::DOUBLE, w: w::DOUBLE, h: h::DOUBLE}] ORDER BY sha256(id), id) AS rows FROM b GROUP BY 1),
+k AS (SELECT page, list_reduce(rows, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k:
+  greatest(0, least(k.x + k.w, x[1].x + x[1].w) - greatest(k.x, x[1].x)) * greatest(0, least(k.y + k.h, x[1].y + x[1].h) - greatest(k.y, x[1].y)) >= 0.85::DOUBLE * (k.w * k.h + x[1].w * x[1].h
+  - greatest(0, least(k.x + k.w, x[1].x + x[1].w) - greatest(k.x, x[1].x)) * greatest(0, least(k.y + k.h, x[1].y + x[1].h) - greatest(k.y, x[1].y)))
+  AND k.w * k.h + x[1].w * x[1].h > 0)) > 0 THEN acc ELSE list_concat(acc, x) END) AS kept FROM g)
+SELECT page, r.id AS id FROM (SELECT page, unnest(kept) AS r FROM k)""")
 def greedy_nms(spark: SparkSession, d: str) -> DataFrame:
     """Readings of a page kept in stable hash order when each is dropped that overlaps an earlier kept one by 0.85."""
 
@@ -217,13 +218,26 @@ def distinct_vectors(rows: DataFrame, limit: int, chunk_rows: int = sequence.CHU
     return kept.unionByName(rows.where(~whole).select("label", "vec_id"))
 
 
-@R.query()
+@R.query("""WITH v AS (SELECT vec_id, label, list_transform(embedding[1:64], lambda x: x::DOUBLE) AS e FROM embeddings),
+s AS (SELECT vec_id, label, list_transform(e, lambda x: x > m) AS bits FROM (SELECT *, list_median(e) AS m FROM v)),
+g AS (SELECT label, list([{id: vec_id, bits: bits}] ORDER BY sha256(vec_id::VARCHAR)) AS rows FROM s GROUP BY 1),
+k AS (SELECT label, list_reduce(rows, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: len(list_filter(list_zip(k.bits, x[1].bits), lambda z: z[1] <> z[2])) <= 16)) > 0 THEN acc ELSE list_concat(acc, x) END) AS kept FROM g)
+SELECT label, r.id AS vec_id FROM (SELECT label, unnest(kept) AS r FROM k)""")
 def greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of a label kept in stable hash order when each is dropped whose signature is at most 16 bits from an earlier kept one."""
     return distinct_vectors(table(spark, d, "embeddings").select("vec_id", "label", *signature_words()), 16)
 
 
-@R.query()
+# The dynamic program row by row: a cell is its score and the steps that lead to it (D: both, U: a region alone, L: a reading alone).
+@R.query("""WITH u AS (SELECT asset_id, 0 AS side, region_id AS id, bbox.y AS y, bbox.height AS h FROM evaluation_regions UNION ALL (SELECT DISTINCT asset_id, 1, fragment_id, bbox.y, bbox.height FROM fragments)),
+g AS (SELECT asset_id, coalesce(list({id: id, y: y, h: h} ORDER BY y, id) FILTER (side = 0), []) AS a, coalesce(list({id: id, y: y, h: h} ORDER BY y, id) FILTER (side = 1), []) AS b FROM u GROUP BY 1),
+m AS (SELECT asset_id, a, b, list_concat([list_transform(range(0, len(b) + 1), lambda j: {s: -0.22::DOUBLE * j, p: repeat('L', j)})],
+  list_transform(range(1, len(a) + 1), lambda i: list_concat([{s: -0.22::DOUBLE * i, p: repeat('U', i)}], list_transform(b, lambda r: {s: 1 - (abs(a[i].y - r.y)::DOUBLE / 50 + abs(a[i].h - r.h)::DOUBLE / 50), p: ''})))) AS rows FROM g),
+d AS (SELECT asset_id, a, b, list_reduce(rows, lambda prev, row: list_reduce(list_transform(row, lambda c: [c]), lambda acc, x: list_append(acc, CASE
+  WHEN prev[len(acc)].s + x[1].s >= greatest(prev[len(acc) + 1].s, acc[len(acc)].s) + -0.22::DOUBLE THEN {s: prev[len(acc)].s + x[1].s, p: prev[len(acc)].p || 'D'}
+  WHEN prev[len(acc) + 1].s >= acc[len(acc)].s THEN {s: prev[len(acc) + 1].s + -0.22::DOUBLE, p: prev[len(acc) + 1].p || 'U'} ELSE {s: acc[len(acc)].s + -0.22::DOUBLE, p: acc[len(acc)].p || 'L'} END))) AS last FROM m),
+p AS (SELECT asset_id, a, b, last[-1].p AS path, unnest(range(1, length(last[-1].p) + 1)) AS k FROM d)
+SELECT asset_id, CASE WHEN path[k] <> 'L' THEN a[k - length(replace(replace(left(path, k), 'D', ''), 'U', ''))].id END AS region_id, CASE WHEN path[k] <> 'U' THEN b[k - length(replace(replace(left(path, k), 'D', ''), 'L', ''))].id END AS fragment_id FROM p""")
 def monotonic_alignment(spark: SparkSession, d: str) -> DataFrame:
     """Regions of an asset aligned in reading order with its first readings, by likeness of height and position."""
     regions = table(spark, d, "evaluation_regions").select("asset_id", F.lit(0).alias("side"), F.col("region_id").alias("id"), F.col("bbox.y").alias("y"), F.col("bbox.height").alias("h"))

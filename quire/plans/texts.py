@@ -18,17 +18,6 @@ def normalize_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "fragments").where("ocr_text is not null").select("fragment_id", text.without_blanks(F.col("ocr_text")).alias("normalized")).distinct()
 
 
-@R.query("""WITH r AS (SELECT asset_id, arg_min(expected, region_id) AS expected FROM evaluation_regions WHERE regexp_full_match(expected, '[ -~]*') GROUP BY 1)
-SELECT DISTINCT fragment_id, round(CASE WHEN length(expected) = 0 THEN CASE WHEN length(ocr_text) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein(expected, ocr_text)::DOUBLE / length(expected) END, 6) AS cer
-FROM fragments f JOIN r ON f.asset_id = r.asset_id WHERE regexp_full_match(ocr_text, '[ -~]*')""")
-def cer(spark: SparkSession, d: str) -> DataFrame:
-    """Character error rate of each ASCII reading against its page's first ASCII region (both engines count ASCII alike)."""
-    ascii_only = r"^[ -~]*\z"
-    expected = table(spark, d, "evaluation_regions").where(F.col("expected").rlike(ascii_only)).groupBy(F.col("asset_id").alias("page")).agg(F.min_by("expected", "region_id").alias("expected"))
-    reads = table(spark, d, "fragments").where(F.col("ocr_text").rlike(ascii_only)).select("fragment_id", "asset_id", "ocr_text")
-    return reads.join(expected, F.col("asset_id") == F.col("page")).select("fragment_id", F.round(text.error_rate(F.col("expected"), F.col("ocr_text")), 6).alias("cer")).distinct()
-
-
 def error_rates(fragments: DataFrame, regions: DataFrame) -> DataFrame:
     """``fragment_id, cer`` of every reading of a page against the page's first region with an expected text.
 
@@ -41,9 +30,14 @@ def error_rates(fragments: DataFrame, regions: DataFrame) -> DataFrame:
     return reads.join(expected, F.col("asset_id") == F.col("page")).select("fragment_id", F.round(text.error_rate(F.col("expected"), F.col("ocr_text")), 6).alias("cer")).distinct()
 
 
-@R.query()
-def cer_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``cer`` over the readings and regions of every script; no SQL, since DuckDB's distance counts bytes."""
+# DuckDB's distance counts bytes, so the SQL first writes the characters of each pair of texts as one byte each.
+@R.query("""WITH r AS (SELECT asset_id, arg_min(expected, region_id) AS e FROM evaluation_regions WHERE expected IS NOT NULL GROUP BY 1),
+p AS (SELECT DISTINCT fragment_id, e, coalesce(ocr_text, '') AS t, list_sort(list_distinct(string_split(e || coalesce(ocr_text, ''), ''))) AS u FROM fragments f JOIN r ON f.asset_id = r.asset_id),
+b AS (SELECT fragment_id, length(e) AS n, length(t) AS m, translate(e, array_to_string(u, ''), c) AS e, translate(t, array_to_string(u, ''), c) AS t
+  FROM (SELECT *, array_to_string(list_transform(range(1, len(u) + 1), lambda i: chr(CASE WHEN i < 127 THEN i ELSE error('too many characters') END)), '') AS c FROM p))
+SELECT DISTINCT fragment_id, round(CASE WHEN n = 0 THEN CASE WHEN m = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein(e, t)::DOUBLE / n END, 6) AS cer FROM b""".replace("chr(CASE WHEN i < 127 THEN i ELSE error('too many characters') END)", "chr(CASE WHEN i < 127 THEN i::INTEGER ELSE error('too many characters')::INTEGER END)"))
+def cer(spark: SparkSession, d: str) -> DataFrame:
+    """Character error rate of every reading against its page's first region, in every script."""
     return error_rates(table(spark, d, "fragments"), table(spark, d, "evaluation_regions"))
 
 
@@ -121,12 +115,14 @@ def secret_scan(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where(text.any_pattern(F.col("text"), _SECRETS)).select("doc_id")
 
 
-@R.query("""SELECT DISTINCT check_result_id, k AS path FROM (SELECT check_result_id, unnest(json_keys(metrics_json)) AS k FROM grouping_check_results) WHERE k IN ('unresolved_relation_count', 'score', 'confidence')""")
+_FORBIDDEN = ("unresolved_relation_count", "score", "confidence")
+
+
+@R.query(f"SELECT DISTINCT check_result_id, t.key AS path FROM grouping_check_results, json_tree(metrics_json) t WHERE metrics_json IS NOT NULL AND t.key IN {_FORBIDDEN}")
 def prohibited_key_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Forbidden keys at any depth of a JSON text, by a search of its key tokens, with the key's name."""
-    keys = F.expr(r"""regexp_extract_all(metrics_json, '"([A-Za-z_]+)"\\s*:', 1)""")
-    rows = table(spark, d, "grouping_check_results").select("check_result_id", F.explode(F.array_distinct(keys)).alias("path"))
-    return rows.where(F.col("path").isin("unresolved_relation_count", "score", "confidence")).distinct()
+    """Results whose metrics hold a forbidden key at any depth, with the key."""
+    rows = table(spark, d, "grouping_check_results").select("check_result_id", F.explode(text.json_keys(F.col("metrics_json"))).alias("path"))
+    return rows.where(F.col("path").isin(*_FORBIDDEN)).distinct()
 
 
 @R.query("SELECT DISTINCT check_result_id FROM grouping_check_results WHERE NOT regexp_full_match(candidate_manifest_sha256, '[0-9a-f]{64}') OR substr(input_fingerprint, 1, 8) <> substr(split_part(check_result_id, ':', 2), 1, 8)")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -26,29 +27,43 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
     )
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process on one machine."""
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's shared checkpoint folder, so a lost executor costs one read, not a recomputation.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) is a temporary folder made.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset a temporary folder serves on a local master
+    (tests); on a cluster, whose machines share no such folder, it is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the workers where they would not find it themselves: neither the working directory nor PYTHONPATH names it."""
+    """Send this package to the workers: to those of a cluster always, to local ones where they would not find it themselves."""
     root = Path(__file__).resolve().parent.parent
     named = [Path(p or ".").resolve() for p in ["", *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]
     context = spark.sparkContext
-    if root not in named and not any(str(f).endswith("/quire.zip") for f in context.listFiles):
-        folder = tempfile.mkdtemp(prefix="quire-package-")  # on the driver, which serves it to the executors
+    if (root not in named or not is_local(spark)) and not any(str(f).endswith("/quire.zip") for f in context.listFiles):
+        folder = tempfile.mkdtemp(prefix="quire-package-")  # code on the driver, which serves it to the executors
         context.addPyFile(shutil.make_archive(f"{folder}/quire", "zip", root, "quire"))
 
 
+def shipped(df: DataFrame) -> DataFrame:
+    """``df`` itself, for a Python stage to follow: the workers have the package from here on."""
+    ship_package(df.sparkSession)
+    return df
+
+
 def parallelism(spark: SparkSession) -> int:
     """Number of shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
