@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.visual_text import CodePoints, fold_points, read_points, row_chunks
+from quire.session import shipped
 
 SHARE = 0.4
 SEED_WORDS, SEED_CHARS = 3, 5
@@ -311,7 +312,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, blo
                         doc_ids = piece.column("doc_id").take(pa.array(rows))
                         yield pa.RecordBatch.from_arrays([doc_ids.cast(pa.int64()), *[pa.array(c, k) for c, k in zip(rest, kinds)]], names)
 
-        parts.append(texts.mapInArrow(scan, SPAN_SCHEMA))
+        parts.append(shipped(texts).mapInArrow(scan, SPAN_SCHEMA))
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import shipped
+
 ITEMS_PER_SHARD = 25_000
 MAX_BUDGETS = 1_000
 PLACE_SCHEMA = "budget_id int, item_id long, piece int, container_id long, container_offset long, item_offset long, n_tokens long"
@@ -146,7 +148,7 @@ def pack_items(items: DataFrame, budgets: DataFrame, items_per_shard: int = ITEM
         placed["budget_id"], placed["container_id"] = budget, placed["bin"] + (shard << 32)
         return placed[[c.split()[0] for c in PLACE_SCHEMA.split(", ")]]
 
-    return spread.groupBy("budget_id", "shard").applyInPandas(one, PLACE_SCHEMA)
+    return shipped(spread).groupBy("budget_id", "shard").applyInPandas(one, PLACE_SCHEMA)
 
 
 def fill_report(places: DataFrame, budgets: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import crf
 from quire.llm.letters import MARKS, Block, Hashes, Letters, block, clauses, grams, letters, mixed, slots, tables
+from quire.session import shipped
 
 FIT_ROWS = 4_000
 FIT_REFUSALS = 1_000
@@ -479,7 +480,7 @@ def count_rows(rows: DataFrame) -> DataFrame:
             langs = pa.array([lang] * len(slot), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), kind, "int32")), langs, pa.array(slot.astype("int32")), pa.array(n), pa.array(m)], [c.split()[0] for c in COUNT_SCHEMA.split(", ")])
 
-    parts = rows.select(*TEXTS).mapInArrow(count, COUNT_SCHEMA)
+    parts = shipped(rows.select(*TEXTS)).mapInArrow(count, COUNT_SCHEMA)
     return parts.groupBy("kind", "lang", "slot").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
@@ -523,6 +524,6 @@ def find_defects(rows: DataFrame, fit_rows: int = FIT_ROWS, fit_refusals: int =
 
     # Verdicts, not texts, are shuffled.
     known = rows.where(F.col("translation_id").isNotNull()).select(F.col("translation_id").cast("long"), F.unix_micros(when).alias("moment"), *TEXTS)
-    judged = known.mapInArrow(judge, "translation_id long, moment long, defect_type string")
+    judged = shipped(known).mapInArrow(judge, "translation_id long, moment long, defect_type string")
     last = judged.groupBy("translation_id").agg(F.max(F.struct("moment", "defect_type"))["defect_type"].alias("defect_type"))
     return last.where(F.col("defect_type").isNotNull())

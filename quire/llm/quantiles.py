@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import parallelism
+from quire.session import parallelism, shipped
 
 FAN_IN = 64
 ERROR = 0.001
@@ -185,7 +185,7 @@ def merge_groups(parts: DataFrame, keys: list[str], size: int) -> DataFrame:
             yield out()
 
     placed = parts.select(*names).repartition(*keys).sortWithinPartitions(*keys)
-    return placed.mapInArrow(partition, f"{_key_schema(parts, keys)}, {BODY}")
+    return shipped(placed).mapInArrow(partition, f"{_key_schema(parts, keys)}, {BODY}")
 
 
 def merge_levels(parts: DataFrame, keys: list[str], slot: str, slots: int, size: int, fan_in: int = FAN_IN) -> DataFrame:
@@ -263,7 +263,7 @@ def summarise_groups(rows: DataFrame, keys: list[str], value: str, size: int, sl
         if piles:
             yield from flush()
 
-    return narrow.mapInArrow(partition, schema)
+    return shipped(narrow).mapInArrow(partition, schema)
 
 
 def percentile_rows(summaries: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
@@ -278,7 +278,7 @@ def percentile_rows(summaries: DataFrame, keys: list[str], shares: dict[str, flo
             errors = pa.array([rank_error(s) for s in body], pa.float64())
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], batch.column("n"), *answers, errors], columns)
 
-    return summaries.mapInArrow(ask, schema)
+    return shipped(summaries).mapInArrow(ask, schema)
 
 
 def group_summaries(rows: DataFrame, keys: list[str], value: str, error: float = ERROR, spare_levels: int = 2) -> DataFrame:

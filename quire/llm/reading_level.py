@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.letters import Block, Hashes, Words, block, mixed, pieces, words
 from quire.llm.visual_text import row_chunks
+from quire.session import shipped
 
 FAMILIAR_SHARE = 0.2
 LIST_SIZES = (30, 50, 70, 100, 200, 300, 600, 1200, 3000)
@@ -110,7 +111,7 @@ def _word_counts(documents: DataFrame) -> DataFrame:
         if seen:
             yield flush()
 
-    parts = documents.select("text", "lang").mapInArrow(count, COUNT_SCHEMA)
+    parts = shipped(documents.select("text", "lang")).mapInArrow(count, COUNT_SCHEMA)
     return parts.groupBy("lang", "word").agg(F.sum("n_documents").alias("n_documents"))
 
 
@@ -267,7 +268,7 @@ def _measured(documents: DataFrame, ratings: DataFrame | None, rated_sample: int
                 out = [batch.column("doc_id").take(at), batch.column("rating").take(at), batch.column("fold").take(at), pa.array([m.lang[i] for i in kept], pa.string()), pa.array(m.length[kept]), pa.array(m.shares[kept, 1:].tolist(), pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "rating", "fold", "lang", "sentence_length", "shares"])
 
-        fitted = rated.mapInArrow(sample, "doc_id long, rating double, fold int, lang string, sentence_length double, shares array<double>").collect()
+        fitted = shipped(rated).mapInArrow(sample, "doc_id long, rating double, fold int, lang string, sentence_length double, shares array<double>").collect()
         once = [r.asDict() for r in {r["doc_id"]: r for r in fitted}.values()]
         weights = [fit_weights([r for r in once if r["fold"] != k], least_rated) for k in range(FOLDS)] + [fit_weights(once, least_rated)]
     fit = context.broadcast(weights)
@@ -294,7 +295,7 @@ def _measured(documents: DataFrame, ratings: DataFrame | None, rated_sample: int
             out += [pa.array(np.where(own, x, np.nan), pa.float64(), from_pandas=True) for x in (share, m.length, difficulty(share, m.length), *levels)]
             yield pa.RecordBatch.from_arrays(out, names)
 
-    return texts.withColumn("fold", fold).mapInArrow(measure, schema).distinct()
+    return shipped(texts.withColumn("fold", fold)).mapInArrow(measure, schema).distinct()
 
 
 def reading_levels(documents: DataFrame, ratings: DataFrame | None = None, rated_sample: int = RATED_SAMPLE, min_documents: int = MIN_DOCUMENTS, least_rated: int = LEAST_RATED) -> DataFrame:

@@ -12,6 +12,8 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
+from quire.session import shipped
+
 VOCABULARY = os.environ.get("QUIRE_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 # Fixed value: the published split pattern of this family of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -39,4 +41,4 @@ def with_token_counts(rows: DataFrame, text: str, vocabulary: str = VOCABULARY,
             sizes = pa.array([len(encode(t)) if t else 0 for t in batch.column(text).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], sizes], [*[f.name for f in kept], name])
 
-    return rows.select(*[f.name for f in kept], text).mapInArrow(count, columns)
+    return shipped(rows.select(*[f.name for f in kept], text)).mapInArrow(count, columns)

@@ -22,10 +22,12 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quire.session import ship_package
+
 # Look-alike characters, each followed by the one they are read as.
 LETTERS_ALIKE = {
     "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹονρϲ": "ABEZHIKMNOPTYXCovpc",  # Greek
@@ -304,11 +306,19 @@ def _key_udf(texts: pa.Array) -> pa.Array:
     return fold_array(texts, look=True)
 
 
+def _shipped() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship_package(spark)
+
+
 def consistent_form(text: Column | str) -> Column:
     """Column of the consistent form. Null gives null; empty and invisible texts give the empty text."""
+    _shipped()
     return _form_udf(text)
 
 
 def look_key(text: Column | str) -> Column:
     """Column of the look key, equal for texts that the eye cannot tell apart. Null gives null."""
+    _shipped()
     return _key_udf(text)
