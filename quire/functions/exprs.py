@@ -62,3 +62,30 @@ def natural_key(text: Column) -> Column:
     """Sort key with digit runs as numbers of up to 12 digits, letters in lower case."""
     padded = F.regexp_replace(F.lower(text), r"(\d+)", "000000000000$1")
     return F.regexp_replace(padded, r"0*(\d{12})(?!\d)", "$1")
+
+
+def half_even(value: Column, places: int) -> Column:
+    """A double rounded to ``places`` decimals (0 to 7) by its exact binary value, ties to the even digit.
+
+    2.675 lies below its tie in binary and goes to 2.67, where rounding by its shortest decimal text gives 2.68. Which side
+    of the nearest tie, an odd half of 10^-places, a value lies on follows from the product 2 * 10^places * value and its
+    rounding error, which is exact in two parts.
+    """
+    scale = F.lit(2.0 * 10**places)
+    v = value.cast("double")
+    twice = v * scale
+    high = v * 134217729.0 - (v * 134217729.0 - v)
+    error = (high * scale - twice) + (v - high) * scale
+    odd = F.floor(twice / 2).cast("double") * 2 + 1
+    beyond = (twice - odd) + error
+    return F.when(beyond == 0, F.bround(v, places)).otherwise((odd + F.signum(beyond)) / 2 / F.lit(10.0**places))
+
+
+def utc_text(moment: Column) -> Column:
+    """ISO text of a UTC time with microseconds and offset."""
+    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def safe_name(text: Column) -> Column:
+    """A name for a file: every character but letters, digits, ``-`` and ``_`` becomes ``_``."""
+    return F.regexp_replace(text, r"[^\p{L}\p{N}_-]", "_")

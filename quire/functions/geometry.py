@@ -50,3 +50,10 @@ def contains(outer: Box, inner: Box, margin: int = 0) -> Column:
 def orientation(box: Box, ratio: float = 1.25) -> Column:
     """vertical, horizontal or uncertain by the ratio of the sides."""
     return F.when(box.h >= box.w * F.lit(ratio), "vertical").when(box.w >= box.h * F.lit(ratio), "horizontal").otherwise("uncertain")
+
+
+def polygon_box(polygon: Column) -> Column:
+    """The box ``left, top, right, bottom`` around a polygon of (x, y) points; null for none or no points."""
+    side = lambda i: F.transform(polygon, lambda p: p[i])
+    box = F.struct(F.array_min(side(0)).alias("left"), F.array_min(side(1)).alias("top"), F.array_max(side(0)).alias("right"), F.array_max(side(1)).alias("bottom"))
+    return F.when(F.size(polygon) > 0, box)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quire.session import cut_lineage
@@ -73,6 +73,33 @@ def multi_source_reach(edges: DataFrame, seeds: DataFrame, bound: float, tie: fl
     return ranked.select("node", "m.owner", "m.cost", ((F.col("k") > 1) & (F.col("far") - F.col("m.cost") <= tie)).alias("contested"))
 
 
+def widest_paths(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    """``node, source, width``: for every node that a source reaches the greatest least capacity along a path between them.
+
+    ``edges``: a, b, capacity, undirected; ``sources``: source, few to a component (rows grow with sources times the nodes
+    they reach). Only widths that grew in a round move on in the next; a path of k edges takes k rounds, more than
+    ``most_rounds`` raise. Null ends and capacities are no edges; a source is no row of its own.
+    """
+    known = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & F.col("capacity").isNotNull() & (F.col("a") != F.col("b")))
+    both = known.select("a", "b", "capacity").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "capacity"))
+    both = cut_lineage(both.groupBy("a", "b").agg(F.max("capacity").alias("capacity")))
+    start = sources.where(F.col("source").isNotNull()).select("source").distinct()
+    first = start.join(both, F.col("source") == F.col("a")).select(F.col("b").alias("node"), "source", F.col("capacity").alias("width"))
+    state = cut_lineage(first.withColumn("grew", F.lit(True)))
+    for _ in range(most_rounds):
+        moved = state.where("grew").join(both, F.col("node") == F.col("a")).where(F.col("b") != F.col("source"))
+        moved = moved.select(F.col("b").alias("node"), "source", F.least("width", "capacity").alias("width"))
+        old = state.select("node", "source", "width", F.col("width").alias("was"))
+        all_of = old.unionByName(moved.withColumn("was", F.lit(None).cast(state.schema["width"].dataType)))
+        best = all_of.groupBy("node", "source").agg(F.max("width").alias("width"), F.max("was").alias("was"))
+        grew = F.col("was").isNull() | (F.col("width") > F.col("was"))
+        seen = Observation()
+        state = cut_lineage(best.select("node", "source", "width", grew.alias("grew")).observe(seen, F.count_if(F.col("grew")).alias("n")))
+        if not seen.get["n"]:
+            return state.select("node", "source", "width")
+    raise RuntimeError(f"widths still grow after {most_rounds} rounds")
+
+
 def nearest_seed(nodes: DataFrame, seeds: DataFrame, block: str, x: str, y: str, cell: int, radius: int) -> DataFrame:
     """``node, seed, distance_squared`` of the nearest seed within ``radius`` in the same block; ties go to the smaller seed.
 

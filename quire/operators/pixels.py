@@ -89,21 +89,6 @@ def compose(members: Sequence[tuple[str, np.ndarray, np.ndarray]], base: np.ndar
     return out, union, digest.hexdigest()
 
 
-def check_cleaning(before: np.ndarray, after: np.ndarray, allowed: np.ndarray, protected: np.ndarray, background: np.ndarray, limit: float = 12.0) -> dict[str, float]:
-    """Counts of changed pixels, those outside the allowed mask and in the protected one, the share of the allowed area
-    still further than ``limit`` in Lab from the background, and the greatest step across the mask's border."""
-    changed = (before != after).any(-1)
-    far = np.linalg.norm(lab(after) - lab(background), axis=-1) > limit
-    tone = grey(after)
-    seam = 0.0
-    for axis in (0, 1):
-        border = np.diff(allowed.astype("int8"), axis=axis) != 0
-        step = np.abs(np.diff(tone, axis=axis))[border]
-        seam = max(seam, float(step.max()) if step.size else 0.0)
-    area = int(allowed.sum())
-    return {"changed": int(changed.sum()), "outside": int((changed & ~allowed).sum()), "protected": int((changed & protected).sum()), "residue": float((far & allowed).sum() / area) if area else 0.0, "seam": seam}
-
-
 def grow(mask: np.ndarray, steps: int) -> np.ndarray:
     """A mask grown by a square of 2 * steps + 1."""
     out = mask
@@ -240,22 +225,3 @@ def tolerance_scores(truth: np.ndarray, found: np.ndarray, tolerance: int = 2) -
         "precision": float((found & near_truth).sum() / found.sum()) if found.any() else None,
         "recall": float((truth & near_found).sum() / truth.sum()) if truth.any() else None,
     }
-
-
-def widest_path(capacity: dict[tuple, float], source: object, target: object) -> float | None:
-    """The greatest least capacity along a path between two nodes of an undirected graph, null if there is none."""
-    near: dict[object, list] = {}
-    for (a, b), c in capacity.items():
-        near.setdefault(a, []).append((b, c))
-        near.setdefault(b, []).append((a, c))
-    best, queue, n = {source: float("inf")}, [(-float("inf"), 0, source)], 0
-    while queue:
-        width, _, v = heapq.heappop(queue)
-        if v == target:
-            return -width
-        for w, c in near.get(v, ()):
-            through = min(-width, c)
-            if through > best.get(w, -float("inf")):
-                best[w], n = through, n + 1
-                heapq.heappush(queue, (-through, n, w))
-    return None

@@ -54,3 +54,28 @@ def group_fingerprint(rows: DataFrame, keys: Sequence[str], line: Column, words:
     hashed = rows.select(*keys, F.sha2(line, 256).alias("leaf"))
     sums = [F.sum(F.conv(F.substring("leaf", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(words)]
     return hashed.groupBy(*keys).agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *sums), 256).alias("fingerprint"))
+
+
+def disposition_findings(rows: DataFrame, disposition: str, unresolved: Column, unproven: Column, evidence: Column) -> DataFrame:
+    """Rows with ``finding``, null where a result's disposition fits its state.
+
+    ``PRODUCED`` may leave nothing unresolved or without provenance, ``INCOMPLETE`` needs something unresolved with evidence
+    for it, and there is no other disposition. Null conditions do not hold.
+    """
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    d = F.col(disposition)
+    finding = (
+        F.when(~holds(d.isin("PRODUCED", "INCOMPLETE")), "invalid_disposition")
+        .when((d == "PRODUCED") & (holds(unresolved) | holds(unproven)), "produced_with_unresolved_blocker")
+        .when((d == "INCOMPLETE") & ~(holds(unresolved) & holds(evidence)), "incomplete_without_evidence")
+    )
+    return rows.withColumn("finding", finding)
+
+
+def fingerprint_drift(rows: DataFrame, key: str, fields: Sequence[str], at: str) -> DataFrame:
+    """Per key the fingerprint of its first delivery, deliveries, and how many of them give another one when it is computed again."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in fields])
+    hashed = rows.select(F.col(key).alias(key), F.sha2(text, 256).alias("print"), F.struct(F.col(at).alias("t"), F.sha2(text, 256).alias("p")).alias("order"))
+    first = hashed.groupBy(F.col(key).alias("of")).agg(F.min("order")["p"].alias("stored"))
+    joined = hashed.join(first, F.col(key) == F.col("of"))
+    return joined.groupBy(key, "stored").agg(F.count("*").alias("n_deliveries"), F.count_if(F.col("print") != F.col("stored")).alias("n_drifted"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import exprs, text
+from quire.functions import exprs, geometry, text
+from quire.operators import reconcile
 from quire.plans.registry import Registry
 from quire.sources.tables import table
 
@@ -130,3 +131,55 @@ def binding_violations(spark: SparkSession, d: str) -> DataFrame:
     """Results whose hashes are malformed or whose id is not that of their input."""
     bad = ~F.col("candidate_manifest_sha256").rlike("^[0-9a-f]{64}$") | (F.substring("input_fingerprint", 1, 8) != F.substring(F.split_part("check_result_id", F.lit(":"), F.lit(2)), 1, 8))
     return table(spark, d, "grouping_check_results").where(bad).select("check_result_id").distinct()
+
+
+@R.query("""SELECT asset_id, fragment_id, rule FROM (SELECT DISTINCT asset_id, fragment_id, 'missing_provenance' AS rule FROM fragments WHERE score IS NULL AND ocr_error IS NULL
+  UNION ALL SELECT DISTINCT asset_id, fragment_id, 'coordinate_mismatch' FROM fragments WHERE polygon IS NULL OR len(polygon) = 0 OR list_min(list_transform(polygon, lambda p: p[1])) IS DISTINCT FROM bbox.x OR list_min(list_transform(polygon, lambda p: p[2])) IS DISTINCT FROM bbox.y
+    OR list_max(list_transform(polygon, lambda p: p[1])) IS DISTINCT FROM bbox.x + bbox.width OR list_max(list_transform(polygon, lambda p: p[2])) IS DISTINCT FROM bbox.y + bbox.height)""")
+def fragment_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Readings without provenance (neither a score nor an error), and those whose polygon lies in other coordinates than their box."""
+    b, around = F.col("bbox"), geometry.polygon_box(F.col("polygon"))
+    same = around.left.eqNullSafe(b.x) & around.top.eqNullSafe(b.y) & around.right.eqNullSafe(b.x + b.width) & around.bottom.eqNullSafe(b.y + b.height)
+    rules = [(F.col("score").isNull() & F.col("ocr_error").isNull(), "missing_provenance"), (around.isNull() | ~same, "coordinate_mismatch")]
+    return table(spark, d, "fragments").select("asset_id", "fragment_id", F.explode(exprs.all_rules(rules)).alias("rule")).distinct()
+
+
+@R.query("""WITH c AS (SELECT DISTINCT check_result_id, CASE WHEN finding_codes_json = '[]' THEN 'PRODUCED' WHEN starts_with(finding_codes_json, '[') THEN 'INCOMPLETE' ELSE 'OTHER' END AS disposition,
+  coalesce(CAST(json_extract(metrics_json, '$.unresolved_relation_count') AS BIGINT), 0) > 0 AS unresolved, contains(finding_codes_json, 'MISSING_FRAGMENT') AS unproven, contains(finding_codes_json, 'RELATION') AS evidence FROM grouping_check_results)
+SELECT check_result_id, disposition, CASE WHEN disposition = 'OTHER' THEN 'invalid_disposition' WHEN disposition = 'PRODUCED' AND (unresolved OR coalesce(unproven, false)) THEN 'produced_with_unresolved_blocker'
+  WHEN disposition = 'INCOMPLETE' AND NOT (unresolved AND evidence) THEN 'incomplete_without_evidence' END AS finding FROM c""")
+def disposition_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each result's disposition, as its finding codes imply it, fits what is unresolved and what there is evidence for."""
+    codes = F.col("finding_codes_json")
+    disposition = exprs.first_rule([(codes == "[]", "PRODUCED"), (codes.startswith("["), "INCOMPLETE")], "OTHER")
+    unresolved = F.get_json_object("metrics_json", "$.unresolved_relation_count").cast("long") > 0
+    rows = table(spark, d, "grouping_check_results").select("check_result_id", codes, unresolved.alias("unresolved"), disposition.alias("disposition")).distinct()
+    found = reconcile.disposition_findings(rows, "disposition", F.col("unresolved"), codes.contains("MISSING_FRAGMENT"), codes.contains("RELATION"))
+    return found.select("check_result_id", "disposition", "finding").distinct()
+
+
+@R.query("""WITH h AS (SELECT page_cleaning_run_id, loaded_at, sha256(concat_ws('|', coalesce(source_hash, '-'), coalesce(config_hash, '-'), coalesce(status, '-'))) AS p FROM page_cleaning_runs),
+f AS (SELECT page_cleaning_run_id, arg_min(p, (loaded_at, p)) AS stored FROM h GROUP BY 1)
+SELECT page_cleaning_run_id, stored, count(*) AS n_deliveries, count(*) FILTER (p <> stored) AS n_drifted FROM h JOIN f USING (page_cleaning_run_id) GROUP BY ALL""")
+def fingerprint_check(spark: SparkSession, d: str) -> DataFrame:
+    """Runs whose fingerprint, computed again from a later delivery, is not that of the first."""
+    return reconcile.fingerprint_drift(table(spark, d, "page_cleaning_runs"), "page_cleaning_run_id", ["source_hash", "config_hash", "status"], "loaded_at")
+
+
+@R.query("SELECT DISTINCT artifact_id, regexp_replace(relative_path, '[^\\p{L}\\p{N}_-]', '_', 'g') AS file_name FROM processing_artifacts")
+def safe_file_name(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "processing_artifacts").select("artifact_id", exprs.safe_name(F.col("relative_path")).alias("file_name")).distinct()
+
+
+@R.query("SELECT DISTINCT fragment_id, CAST(printf('%.3f', score) AS DOUBLE) AS score_3, CAST(printf('%.1f', score * 100) AS DOUBLE) AS percent, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS created_text FROM fragments")
+def rounded_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores rounded half to even by their exact binary values, with the time of the reading as UTC text."""
+    score = F.col("score")
+    return table(spark, d, "fragments").select("fragment_id", exprs.half_even(score, 3).alias("score_3"), exprs.half_even(score * 100, 1).alias("percent"), exprs.utc_text(F.col("created_at")).alias("created_text")).distinct()
+
+
+@R.query("""SELECT DISTINCT region_id, split FROM evaluation_regions WHERE bbox IS NOT NULL AND (split = 'core' OR (split = 'evaluation' AND expected IS NOT NULL AND direction = 'vertical'))""")
+def scored_subset(spark: SparkSession, d: str) -> DataFrame:
+    """Regions that count in a score: those of the core split, and of the evaluation split those with a text and of the main direction; none without a box."""
+    counts = (F.col("split") == "core") | ((F.col("split") == "evaluation") & F.col("expected").isNotNull() & (F.col("direction") == "vertical"))
+    return table(spark, d, "evaluation_regions").where(F.col("bbox").isNotNull() & counts).select("region_id", "split").distinct()

@@ -12,6 +12,10 @@ from quire.functions.exprs import natural_key
 from quire.operators.reconcile import group_fingerprint
 
 
+#: Segments of a JPEG that are looked through for its frame header.
+MOST_SEGMENTS = 64
+
+
 def read_json_object(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Files of one JSON object each; anything else at the root, or a value that doesn't fit the schema, fails the read."""
     roots = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim(F.regexp_replace("value", r"^[\s﻿]+", "")), 1, 1).alias("first"))
@@ -42,7 +46,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def inventory(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """``path, byte_size, modified_at, sha256, natural_order_key`` of the files below a folder; contents are hashed where they are read."""
+    """``path, byte_size, modified_at, sha256, natural_order_key`` of the files below a folder; contents are hashed where they are read. Files of no bytes are not listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     path = F.regexp_replace("path", "^file:/+", "/")
     return files.select(path.alias("path"), F.col("length").alias("byte_size"), F.col("modificationTime").alias("modified_at"), F.sha2("content", 256).alias("sha256"), natural_key(path).alias("natural_order_key"))
@@ -67,6 +71,44 @@ def write_once(df: DataFrame, path: str) -> DataFrame:
     return inventory(df.sparkSession, path, "*.parquet")
 
 
+def write_atomic(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """Write beside the path and rename, so that readers see the whole output or none; the path must be new.
+
+    What a failed write left beside the path is replaced by the next one.
+    """
+    spark = df.sparkSession
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    beside = jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_{target.getName()}.part")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        raise FileExistsError(path)
+    df.write.format(kind).mode("overwrite").save(beside.toString())
+    if not fs.rename(beside, target):
+        raise FileExistsError(path)
+
+
+def image_sizes(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """``path, kind, width, height`` of the files below a folder from their first bytes: png, gif, jpeg; others have null measures, files of no bytes are not listed.
+
+    A JPEG's frame header is the first segment C0 to CF that is no table, found by the lengths of the segments before it.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    code = F.hex("content")
+    number = lambda c: F.conv(c, 16, 10).cast("int")
+    at = lambda first, n: F.substr(code, F.lit(2 * first + 1) if isinstance(first, int) else 2 * first + 1, F.lit(2 * n))
+    little = lambda first: number(F.concat(at(first + 1, 1), at(first, 1)))
+    kind = F.when(code.startswith("89504E470D0A1A0A"), "png").when(code.startswith("474946383"), "gif").when(code.startswith("FFD8FF"), "jpeg")
+    # Segments from byte 2: marker FF xx and a length; the fold stays at the first frame header.
+    is_frame = lambda p: at(p + 1, 1).rlike("^C[012356799ABDEF]$")
+    frame = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_SEGMENTS)), F.lit(2), lambda p, _: F.when(is_frame(p) | (p + 4 > F.length("content")), p).otherwise(p + 2 + F.coalesce(number(at(p + 2, 2)), F.lit(0))))
+    held = files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content", kind.alias("kind")).withColumn("frame", F.when(kind == "jpeg", frame))
+    found = held.withColumn("framed", is_frame(F.col("frame")))
+    width = F.when(F.col("kind") == "png", number(at(16, 4))).when(F.col("kind") == "gif", little(6)).when(F.col("framed"), number(at(F.col("frame") + 7, 2)))
+    height = F.when(F.col("kind") == "png", number(at(20, 4))).when(F.col("kind") == "gif", little(8)).when(F.col("framed"), number(at(F.col("frame") + 5, 2)))
+    return found.select("path", "kind", width.alias("width"), height.alias("height"))
+
+
 def parse_form(documents: DataFrame, key: str, text: str) -> DataFrame:
     """``key, section, field, value`` of filled-in Markdown forms: ``## section`` heads and ``- field: value`` lines.
 

@@ -8,8 +8,8 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions import text
-from quire.operators import evaluate, graph, pairs
+from quire.functions import exprs, text
+from quire.operators import evaluate, graph, pairs, reconcile
 from quire.plans import matching
 
 rng = random.Random(23)
@@ -92,3 +92,47 @@ def test_reach_over_long_paths_or_an_error(spark):
     assert max(r["cost"] for r in graph.multi_source_reach(edges, seeds, 100.0).collect()) == 8.0
     with pytest.raises(RuntimeError):
         graph.multi_source_reach(edges, seeds, 100.0, most_rounds=3)
+
+
+def test_half_even_rounding_is_that_of_exact_values(spark):
+    values = [2.675, 0.125, 0.375, 1.005, -2.675, -0.125, 0.0, 1e-9, 12345.6785, 0.5, 1.5, 2.5] + [rng.randrange(-10**6, 10**6) / 2000 for _ in range(400)] + [rng.uniform(-50, 50) for _ in range(200)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(-1, None)], "i int, v double")
+    for places in (0, 2, 3):
+        got = {r["i"]: r["r"] for r in df.select("i", exprs.half_even(F.col("v"), places).alias("r")).collect()}
+        assert got == {i: round(v, places) for i, v in enumerate(values)} | {-1: None}
+
+
+def test_names_and_times_as_text(spark):
+    df = spark.createDataFrame([("a/b c.png", "2025-01-02 03:04:05.6"), ("漢字-é_1", None), ("", "1999-12-31 23:59:59")], "n string, t string").select("n", F.to_timestamp_ntz("t").alias("t"))
+    got = rows(df.select(exprs.safe_name(F.col("n")), exprs.utc_text(F.col("t"))))
+    assert got == sorted([("a_b_c_png", "2025-01-02T03:04:05.600000+00:00"), ("漢字-é_1", None), ("", "1999-12-31T23:59:59.000000+00:00")], key=repr)
+
+
+def test_widest_paths_against_all_paths(spark):
+    from itertools import permutations
+
+    edges = {(a, b): rng.randrange(1, 9) for a in range(6) for b in range(a + 1, 6) if rng.random() < 0.5} | {(10, 11): 3}
+    cap = {**edges, **{(b, a): c for (a, b), c in edges.items()}}
+    want = []
+    for s in (0, 2):
+        for t in {x for e in edges for x in e} - {s}:
+            paths = [(s, *mid, t) for k in range(5) for mid in permutations(set(range(6)) - {s, t}, k)]
+            widths = [min(cap[p] for p in zip(x, x[1:])) for x in paths if all(p in cap for p in zip(x, x[1:]))]
+            if widths:
+                want.append((t, s, max(widths)))
+    df = spark.createDataFrame([(a, b, c) for (a, b), c in edges.items()] + [(1, 1, 99), (None, 2, 9)], "a int, b int, capacity int")
+    sources = spark.createDataFrame([(0,), (2,), (2,), (None,)], "source int")
+    assert rows(graph.widest_paths(df, sources)) == sorted(want, key=repr)
+    assert graph.widest_paths(df.limit(0), sources).count() == 0
+    with pytest.raises(RuntimeError):
+        graph.widest_paths(spark.createDataFrame([(i, i + 1, 1) for i in range(6)], "a int, b int, capacity int"), sources, most_rounds=2)
+
+
+def test_dispositions_and_drift(spark):
+    cases = [(1, "PRODUCED", False, False, False, None), (2, "PRODUCED", True, None, None, "produced_with_unresolved_blocker"), (3, "PRODUCED", None, True, None, "produced_with_unresolved_blocker"), (4, "INCOMPLETE", True, False, True, None),
+             (5, "INCOMPLETE", True, None, None, "incomplete_without_evidence"), (6, "INCOMPLETE", False, None, True, "incomplete_without_evidence"), (7, "DONE", False, False, False, "invalid_disposition"), (8, None, None, None, None, "invalid_disposition")]
+    df = spark.createDataFrame([c[:5] for c in cases], "i int, d string, u boolean, p boolean, e boolean")
+    found = reconcile.disposition_findings(df, "d", F.col("u"), F.col("p"), F.col("e"))
+    assert {r["i"]: r["finding"] for r in found.collect()} == {c[0]: c[5] for c in cases}
+    log = spark.createDataFrame([("a", "x", 1), ("a", "x", 2), ("a", "y", 3), ("b", None, 1)], "k string, v string, t int")
+    assert {r["k"]: (r["n_deliveries"], r["n_drifted"]) for r in reconcile.fingerprint_drift(log, "k", ["v"], "t").collect()} == {"a": (3, 1), "b": (1, 0)}

@@ -31,11 +31,6 @@ def test_runs_round_trip():
 def test_cleaning():
     base, ink, area = page(), page(), box(40, 60, 10, 10, 8, 20)
     ink[box(40, 60, 12, 12, 3, 10)] = 0
-    cleaned = px.border_fill(ink, area)
-    report = px.check_cleaning(ink, cleaned, area, box(40, 60, 0, 0, 5, 5), base)
-    assert report == {"changed": 30, "outside": 0, "protected": 0, "residue": 0.0, "seam": 0.0}
-    dirty = px.check_cleaning(base, ink, box(40, 60, 12, 12, 3, 5), area, base)
-    assert dirty["outside"] == 15 and dirty["protected"] == 30 and dirty["residue"] == 1.0 and dirty["seam"] == pytest.approx(240.0)
     assert (px.diffuse_fill(ink, area) == base).all() and (px.border_fill(ink, np.ones((40, 60), bool)) == ink).all()
     members = [("a", area, page() * 0), ("b", box(40, 60, 12, 12, 2, 2), page())]
     out, union, print_a = px.compose(members, base)
@@ -78,19 +73,6 @@ def test_quality_and_scores():
     assert px.tolerance_scores(truth, truth & False) == {"iou": 0.0, "precision": None, "recall": 0.0}
 
 
-def test_widest_path_against_all_paths():
-    for _ in range(20):
-        edges = {(a, b): int(RNG.integers(1, 20)) for a in range(5) for b in range(a) if RNG.random() < 0.6}
-        best = None
-        for n in range(4):
-            for mid in permutations([1, 2, 3], n):
-                path = [0, *mid, 4]
-                widths = [edges.get((max(p), min(p))) for p in zip(path, path[1:])]
-                if None not in widths:
-                    best = max(best or 0, min(widths))
-        assert px.widest_path(edges, 0, 4) == best
-
-
 def test_per_image(spark):
     rows = spark.createDataFrame([(1, page().tobytes(), 40, 60)], "id int, data binary, h int, w int")
     got = px.per_image(rows, lambda r: {"id": r["id"], "hash": px.perceptual_hash(px.image_of(r["data"], r["h"], r["w"]))}, "id int, hash string")

@@ -85,3 +85,47 @@ def test_streams(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert sorted((r["user"], r["n_events"]) for r in spark.read.parquet(out).collect())[:3] == [("a", 1), ("a", 3), ("b", 1)]
+
+
+def test_atomic_output(spark, tmp_path):
+    from quire.sources.files import write_atomic
+
+    target = str(tmp_path / "out")
+    write_atomic(spark.range(3), target)
+    assert spark.read.parquet(target).count() == 3 and not (tmp_path / "_out.part").exists()
+    with pytest.raises(FileExistsError):
+        write_atomic(spark.range(5), target)
+    assert spark.read.parquet(target).count() == 3
+
+
+def test_image_sizes(spark, tmp_path):
+    from quire.sources.files import image_sizes
+
+    png = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + (300).to_bytes(4, "big") + (70000).to_bytes(4, "big") + b"rest"
+    gif = b"GIF89a" + (513).to_bytes(2, "little") + (7).to_bytes(2, "little")
+    jpeg = b"\xff\xd8\xff\xe0\0\x10" + b"x" * 14 + b"\xff\xdb\0\x05abc" + b"\xff\xc2\0\x11\x08" + (480).to_bytes(2, "big") + (640).to_bytes(2, "big") + b"\x03"
+    for name, data in (("a.png", png), ("b.gif", gif), ("c.jpg", jpeg), ("d.jpg", jpeg[:24]), ("e.txt", b"plain"), ("f", b"x")):
+        (tmp_path / name).write_bytes(data)
+    got = {r["path"].rsplit("/", 1)[1]: tuple(r)[1:] for r in image_sizes(spark, str(tmp_path)).collect()}
+    assert got == {"a.png": ("png", 300, 70000), "b.gif": ("gif", 513, 7), "c.jpg": ("jpeg", 640, 480), "d.jpg": ("jpeg", None, None), "e.txt": (None, None, None), "f": (None, None, None)}
+
+
+def test_connect_and_foreign_keys(spark, tmp_path):
+    from quire.sources.tables import connect, foreign_key_violations
+
+    spark.createDataFrame([(1, "a"), (2, "z"), (3, None), (4, "z")], "i int, ref string").write.parquet(str(tmp_path / "child.parquet"))
+    spark.createDataFrame([("a",), ("b",)], "id string").write.parquet(str(tmp_path / "parent.parquet"))
+    held = connect(spark, str(tmp_path), ["child", "parent"])
+    assert [tuple(r) for r in foreign_key_violations(held["child"], "ref", held["parent"], "id").collect()] == [("z", 2)]
+    with pytest.raises(FileNotFoundError, match="other"):
+        connect(spark, str(tmp_path), ["child", "other"])
+
+
+def test_sample_pages(spark):
+    import hashlib
+
+    from quire.sources.samples import sample_pages
+
+    held = sample_pages(spark).collect()
+    assert len(held) == 4 and [len(r["boxes"]) for r in held] == [1, 1, 2, 0]
+    assert all(len(r["pixels"]) == r["height"] * r["width"] * 3 and hashlib.sha256(bytes(r["pixels"])).hexdigest() == r["sha256"] for r in held)
