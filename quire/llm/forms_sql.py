@@ -10,7 +10,7 @@ import sys
 import unicodedata
 from functools import lru_cache
 
-from quire.llm.visual_text import KANA_ALIKE, LETTERS_ALIKE, fold_one
+from quire.llm.visual_text import KANA_ALIKE, LETTERS_ALIKE, alike_folds, fold_one
 
 
 def _quoted(text: str) -> str:
@@ -20,9 +20,9 @@ def _quoted(text: str) -> str:
 @lru_cache(maxsize=2)
 def _maps(look: bool) -> tuple[dict[str, str], dict[str, str], str]:
     """Single characters that become one other, those that become several, and those that go; what composition does itself is left out."""
-    one, many, gone = {}, {}, []
+    one, many, gone, folds = {}, {}, [], alike_folds(look)
     for cp in range(sys.maxunicode + 1):
-        if 0x3400 <= cp < 0xE000 and not 0xA000 <= cp < 0xAC00 or 0xE000 <= cp < 0xF900 or cp >= 0x30000 and not 0xE0000 <= cp < 0xE0200:
+        if cp not in folds and (0x3400 <= cp < 0xE000 and not 0xA000 <= cp < 0xAC00 or 0xE000 <= cp < 0xF900 or cp >= 0x30000 and not 0xE0000 <= cp < 0xE0200):
             continue
         char = chr(cp)
         to = "".join(map(chr, fold_one(cp, look)))
@@ -42,9 +42,14 @@ def _folded_sql(column: str, look: bool) -> str:
     return f"trim(nfc_normalize({text}), ' ')"
 
 
+def look_sql(column: str) -> str:
+    """SQL of the look key of a column."""
+    return _folded_sql(column, True)
+
+
 def plain_sql(column: str) -> str:
     """SQL of a column's letters, marks and digits in the form of the look key and lower case."""
-    return f"regexp_replace(lower({_folded_sql(column, True)}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g')"
+    return f"regexp_replace(lower({look_sql(column)}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g')"
 
 
 def consistent_sql(column: str) -> str:

@@ -15,10 +15,12 @@ import json
 import random
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ FIT_CHARS = 2_000
 FLAGGED_EMPTY = 50
 MAX_LANGUAGES = 200
 CHUNK_ROWS = 4_000
-CHUNK_CHARS = 2_000_000
+CHUNK_BYTES = 4_000_000
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 KINDS = ("empty", "refusal", "source_copy", "truncated", "wrong_language")
 COLUMNS = ("translation_id", "source_lang", "target_lang", "instruction", "source_text", "translation_text", "content", "error_classification")
@@ -44,6 +46,8 @@ LANGUAGE_GRAMS, LANGUAGE_BITS = (1, 2, 3), 16
 REFUSAL_GRAMS, REFUSAL_BITS = (2, 3, 5), 18
 ENDINGS, ENDING_BITS = (8, 5, 3), 20
 LEAD_BITS = 20
+ALL_ROWS = 2 << LEAD_BITS
+LEAD_SHARE = 0.001
 USUAL_SCRIPT = 0.03
 #: What stands where an answer should, in whole answers of no other letters.
 PLACEHOLDER = re.compile(r"\W*(n/?a|tbd|tba|todo|null|none|nil|nan|undefined|empty|blank|translation|translated text|text|无|無|空|なし|暂无|ninguno|nada|vacío)?\W*", re.I)
@@ -162,10 +166,13 @@ def count_batch(batch: Batch) -> list[tuple[int, str | None, np.ndarray, np.ndar
         pair.append(sum(np.bincount(slots(grams(x, k, hashes)[0], REFUSAL_BITS), minlength=1 << REFUSAL_BITS) for k in REFUSAL_GRAMS))
     held = np.flatnonzero(pair[0] + pair[1])
     out.append((IS_REFUSAL, None, held, pair[0][held], pair[1][held]))
-    leads = clauses(block(sorted({t for t in c["instruction"] if t}))).letters
-    if leads.n:
-        held = np.unique(_clause_slots(leads, Hashes(leads.points)))
-        out.append((IS_LEAD, None, held, np.ones(len(held), "int64"), np.zeros(len(held), "int64")))
+    told = Counter(t for t in c["instruction"] if t)
+    leads = clauses(block(list(told)))
+    times = np.array(list(told.values()), "int64")
+    held, where = np.unique(_clause_slots(leads.letters, Hashes(leads.letters.points)), return_inverse=True)
+    said_in = np.bincount(where.ravel(), np.tile(times[leads.row], 2), len(held)).astype("int64")
+    slot = np.append(held, ALL_ROWS)
+    out.append((IS_LEAD, None, slot, np.append(said_in, batch.n), np.zeros(len(slot), "int64")))
     x = said.letters
     if len(x.points):
         hashes = Hashes(x.points)
@@ -206,10 +213,10 @@ class Statistics:
         k = len(self.languages)
         tally, scripts = np.full((k, 1 << LANGUAGE_BITS), 0.05), np.zeros((k, 256))
         refusal, ends = np.zeros((2, 1 << REFUSAL_BITS)), np.zeros((2, len(ENDINGS) << ENDING_BITS))
-        self.lead = np.zeros(2 << LEAD_BITS, bool)
+        leads = np.zeros(ALL_ROWS + 1)
         for kind, lang, slot, n, m in parts:
             if kind == IS_LEAD:
-                self.lead[slot] = True
+                np.add.at(leads, slot, n)
             elif kind == IS_LANGUAGE:
                 np.add.at(tally[self.code[lang]], slot, n)
             elif kind == IS_SCRIPT:
@@ -224,6 +231,7 @@ class Statistics:
         share = refusal.sum(0) / max(1.0, r + g)
         odds = np.log((refusal[0] / max(r, 1.0) + share + 1e-12) / (refusal[1] / max(g, 1.0) + share + 1e-12)) if r and g else np.zeros(1 << REFUSAL_BITS)
         self.refusal = np.clip(odds, -3, 3).astype("float32")
+        self.lead = leads[:ALL_ROWS] > LEAD_SHARE * leads[ALL_ROWS]
         self.known_end = ends.sum(0) > 1
         self.end = np.log((ends[1] + 0.2) / (ends[0] + 0.2)).astype("float32")
 
@@ -262,7 +270,7 @@ def _pairs_held(x: Letters, row: np.ndarray, by: Letters) -> np.ndarray:
 def features(stats: Statistics, batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of each clause of the batch's answers, its row, and its letters.
 
-    A clause that says part of any row's instruction leads in to the answer and counts no letters, where others follow. A row that the provider classed as refused has a clause without letters where its answer has none.
+    A clause that instructions often hold (in ``LEAD_SHARE`` of all rows) leads in to the answer and counts no letters, where others follow. A row that the provider classed as refused has a clause without letters where its answer has none.
     """
     c, n = batch.columns, batch.n
     said = clauses(block(batch.bare()))
@@ -325,7 +333,7 @@ def features(stats: Statistics, batch: Batch) -> tuple[np.ndarray, np.ndarray, n
         echo, echo >= 0.85, echo < 0.3, (repeated >= 0.9) | leads, (echo >= 0.85) & (odds < 0),
         np.clip(refusal, -1.5, 1.5), refusal > 0.3, refusal > 1.0, top[row] > 1.0, (top[row] > 1.0) & (refusal > 0), flagged, strange, strange > 0.5,
         open_end, open_end & ~whole_source, open_end & whole_source,
-        last & batch.broken[row], np.clip(ends, -6, 4) / 4, ~known, ends < -1.9, ends > -1, open_end & whole_source & (ends > 0),
+        last & batch.broken[row], np.clip(ends, -6, 4) / 4, ~known, ends < -1.9, ends > -1, open_end & whole_source & (ends > 0), open_end & whole_source & (ends < -1.9), open_end & whole_source & (ends < -3.2),
         last & (mark[row] >= 4) & (mark[row] != source_mark[row]), last & (per_row[row] < n_source[row]), size < 3,
     ]
     out = np.stack([np.asarray(col, "float64") for col in columns], 1) if k else np.zeros((0, len(columns)))
@@ -365,7 +373,7 @@ def examples(stats: Statistics, rows: list[dict], seed: int = 7) -> list[tuple[n
     for r in good:
         made.append((r | {"content": None}, 0, False))
         text, spoil = r["translation_text"], rng.random()
-        if spoil < 0.12:  # broken off inside a clause
+        if spoil < (0.12 if _last_mark(r["source_text"] or "") else 0.3):  # broken off inside a clause, oftener where no mark is due
             spots = [m.end() for m in re.finditer(r"\w", text) if m.end() < len(text.rstrip("。！？.!?…—” 」")) and m.end() > 1]
             if spots:
                 made.append((r | {"translation_text": text[: rng.choice(spots)], "content": "{" if rng.random() < 0.4 else None}, 4, True))
@@ -449,10 +457,10 @@ def _batches(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Itera
     for whole in batches:
         if not whole.num_rows:
             continue
-        chars = np.zeros(whole.num_rows, "int64")
+        size = np.zeros(whole.num_rows, "int64")
         for c in TEXTS:
-            chars += np.array([len(v) if v else 0 for v in whole.column(c).to_pylist()], "int64")
-        part = np.maximum(np.cumsum(chars) // CHUNK_CHARS, np.arange(whole.num_rows) // CHUNK_ROWS)
+            size += pc.fill_null(pc.binary_length(whole.column(c)), 0).to_numpy(zero_copy_only=False)
+        part = np.maximum(np.cumsum(size) // CHUNK_BYTES, np.arange(whole.num_rows) // CHUNK_ROWS)
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), whole.num_rows]
         for lo, hi in zip(edges[:-1], edges[1:]):
             piece = whole.slice(lo, hi - lo)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import contamination, packing, pair_defects, quantiles, reading_level, tokens
-from quire.llm.forms_sql import consistent_sql, plain_sql
+from quire.llm.forms_sql import consistent_sql, look_sql, plain_sql
 from quire.llm.visual_text import consistent_form, look_key
 from quire.session import cut_lineage
 from quire.sources.tables import table
@@ -47,6 +47,9 @@ def p4_consistent_fragments(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "fragments").select("fragment_id", "asset_id", consistent_form("ocr_text").alias("consistent_text")).distinct()
 
 
+SQL["p4_found"] = f"""WITH r AS (SELECT DISTINCT region_id, asset_id, expected, {look_sql('expected')} AS form FROM evaluation_regions WHERE expected <> ''),
+f AS (SELECT DISTINCT fragment_id, asset_id, ocr_text, {look_sql('ocr_text')} AS form FROM fragments WHERE ocr_text <> '')
+SELECT DISTINCT fragment_id, region_id FROM f JOIN r ON f.asset_id = r.asset_id AND f.form = r.form AND ocr_text <> expected"""
 SQL["p4_consistent_regions"] = f"SELECT DISTINCT region_id, asset_id, {consistent_sql('expected')} AS consistent_expected FROM evaluation_regions"
 SQL["p4_consistent_fragments"] = f"SELECT DISTINCT fragment_id, asset_id, {consistent_sql('ocr_text')} AS consistent_text FROM fragments"
 
@@ -173,6 +176,11 @@ def p8_reading_levels(spark: SparkSession, d: str) -> DataFrame:
     return reading_level.reading_levels(table(spark, d, "documents"), table(spark, d, "level_ratings"))
 
 
+def p8_unfamiliar_words(spark: SparkSession, d: str) -> DataFrame:
+    """Words of every text and the share of them outside its language's list."""
+    return reading_level.reading_levels(table(spark, d, "documents")).select("doc_id", "lang", "n_words", "unfamiliar_share").distinct()
+
+
 def p8_level_agreement(spark: SparkSession, d: str) -> DataFrame:
     """How the measures go with the readers' ratings, by language; levels are of weights that did not see the document."""
     ratings = table(spark, d, "level_ratings")
@@ -193,7 +201,20 @@ WITH found AS (SELECT r, lang, unnest(regexp_extract_all(lower(text), '{_WORD}')
 cut AS (SELECT r, lang, unnest(CASE WHEN regexp_matches(w, '^[{_HAN}]') AND length(w) > 2 THEN list_transform(range(1, length(w)), lambda i: substr(w, i, 2)) ELSE [w] END) AS word FROM found)
 SELECT lang, word, count(DISTINCT r) AS n_documents FROM cut GROUP BY ALL"""
 
+# Lists and shares again in SQL; a document without a language has the one whose list holds most of its words.
+SQL["p8_unfamiliar_words"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, nullif(lang, '') AS lang, text FROM documents), found AS (SELECT r, unnest(regexp_extract_all(lower(text), '{_WORD}')) AS w FROM docs),
+cut AS (SELECT r, unnest(CASE WHEN regexp_matches(w, '^[{_HAN}]') AND length(w) > 2 THEN list_transform(range(1, length(w)), lambda i: substr(w, i, 2)) ELSE [w] END) AS word FROM found),
+own AS (SELECT r, lang, word, count(*) AS k FROM cut JOIN docs USING (r) GROUP BY ALL), total AS (SELECT lang, count(DISTINCT r) AS t FROM own GROUP BY 1),
+spread AS (SELECT lang, word, count(*) AS n FROM own GROUP BY lang, word HAVING count(*) >= {reading_level.MIN_DOCUMENTS}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM spread),
+lists AS (SELECT ranked.lang, word, n >= {reading_level.FAMILIAR_SHARE} * t AS familiar FROM ranked JOIN total ON ranked.lang IS NOT DISTINCT FROM total.lang WHERE place <= {max(reading_level.LIST_SIZES)}),
+guess AS (SELECT r, arg_min(lang, (-k, lang)) AS lang FROM (SELECT r, lists.lang, sum(k) AS k FROM own JOIN lists USING (word) WHERE own.lang IS NULL AND lists.lang IS NOT NULL GROUP BY ALL) GROUP BY 1),
+named AS (SELECT own.r, coalesce(own.lang, guess.lang) AS lang, word, k FROM own LEFT JOIN guess USING (r)),
+counts AS (SELECT named.r, any_value(named.lang) AS lang, sum(k) AS n_words, coalesce(sum(k) FILTER (familiar), 0) AS n_familiar FROM named LEFT JOIN lists ON named.word = lists.word AND named.lang IS NOT DISTINCT FROM lists.lang GROUP BY 1)
+SELECT DISTINCT doc_id, coalesce(docs.lang, counts.lang) AS lang, coalesce(n_words, 0)::BIGINT AS n_words, 1 - n_familiar::DOUBLE / n_words AS unfamiliar_share FROM docs LEFT JOIN counts USING (r)"""
+
 QUERIES |= {
     f.__name__: f
-    for f in (p1_found, p1_defect_rates, p4_found, p4_consistent_regions, p4_consistent_fragments, p5_stage_percentiles, p5_day_percentiles, p5_rank_check, p6_containers, p6_fill_report, p7_found, p7_spans, p7_exact_passages, p7_leaked_items, p8_reading_levels, p8_level_agreement, p8_document_frequencies)
+    for f in (p1_found, p1_defect_rates, p4_found, p4_consistent_regions, p4_consistent_fragments, p5_stage_percentiles, p5_day_percentiles, p5_rank_check, p6_containers, p6_fill_report, p7_found, p7_spans, p7_exact_passages, p7_leaked_items, p8_reading_levels, p8_unfamiliar_words, p8_level_agreement, p8_document_frequencies)
 }

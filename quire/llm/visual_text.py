@@ -72,7 +72,7 @@ def fold_one(cp: int, look: bool) -> list[int]:
         return []
     if cp in VOICING:
         return [VOICING[cp]]
-    alike = _folds(look)
+    alike = alike_folds(look)
     if cp in alike:
         return [alike[cp]]
     parts = unicodedata.decomposition(chr(cp)).split()
@@ -91,7 +91,8 @@ def _hidden() -> set[int]:
 
 
 @lru_cache(maxsize=2)
-def _folds(look: bool) -> dict[int, int]:
+def alike_folds(look: bool) -> dict[int, int]:
+    """Look-alikes that fold whatever their neighbours, by code point."""
     return _alike(SIGNS_ALIKE, LETTERS_ALIKE, KANA_ALIKE) if look else _alike(SIGNS_ALIKE)
 
 
@@ -101,7 +102,7 @@ def _tables(look: bool) -> _Tables:
     size = 0x110000
     count, single, start = np.ones(size, "uint8"), np.arange(size, dtype="uint32"), np.zeros(size, "int32")
     mark = np.zeros(size, "uint8")
-    alike = _folds(look)
+    alike = alike_folds(look)
     flat: list[int] = []
     pairs: dict[int, int] = {}
     for cp in [*range(0x30000), *range(0xE0000, 0xE0200)]:
