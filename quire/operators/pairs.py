@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions.geometry import Box, contains, gap_squared, iou, overlap
+from quire.operators import sequence
+from quire.session import cut_lineage
 
 CELL = 64
 
@@ -122,3 +124,24 @@ def top_candidates(boxes: DataFrame, gap: int, n: int = 3, cell: int = CELL) ->
     both = pairs.select(F.col("a_id").alias("id"), F.struct("gap2", F.col("b_id").alias("other")).alias("s")).unionByName(pairs.select(F.col("b_id").alias("id"), F.struct("gap2", F.col("a_id").alias("other")).alias("s")))
     place = F.row_number().over(Window.partitionBy("id").orderBy("s"))
     return both.withColumn("place", place).where(F.col("place") <= n).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("s"))["other"], ",").alias("candidates"))
+
+
+def boxes_kept(boxes: DataFrame, limit: float, cell: int = CELL) -> DataFrame:
+    """``page, id`` of the boxes kept in the order of the hashes of their ids when each is dropped that overlaps an earlier
+    kept one by an IoU of ``limit``.
+
+    Equal boxes stand under the first of them, which decides for all; only boxes of a common cell are compared, and the
+    order is followed in rounds over the pairs, so no page meets in one task. Boxes without area overlap nothing and stay,
+    as do those without a place.
+    """
+    node = F.concat(F.sha2(F.col("id"), 256), F.lit("="), "id")
+    real = F.coalesce((F.col("w") > 0) & (F.col("h") > 0) & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("page").isNotNull(), F.lit(False))
+    classes = boxes.where(real).groupBy("page", "x", "y", "w", "h").agg(F.min(F.struct(node.alias("node"), "id"))["id"].alias("id"))
+    classes = cut_lineage(classes.select("page", "id", "x", "y", "w", "h"))
+    met = _meet(_renamed(classes, "a_"), _renamed(classes, "b_"), "a_", "b_", 0, cell).where("a_id < b_id")
+    near = met.where(iou(Box("a_"), Box("b_")) >= limit)
+    key = lambda p: F.concat(F.sha2(F.col(f"{p}_id"), 256), F.lit("="), f"{p}_id", F.lit("@"), f"{p}_page")
+    dropped = sequence.greedy_dropped(near.select(F.least(key("a"), key("b")).alias("lo"), F.greatest(key("a"), key("b")).alias("hi")))
+    whole = F.concat(node, F.lit("@"), "page")
+    kept = classes.withColumn("whole", whole).join(dropped.withColumnRenamed("node", "gone"), F.col("whole") == F.col("gone"), "left_anti").select("page", "id")
+    return kept.unionByName(boxes.where(~real).select("page", "id"))

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.operators import graph, masks, pairs, pixels, sequence
 from quire.plans.matching import _GAP, _REGIONS, all_readings, regions
@@ -28,10 +29,10 @@ class Sheet:
     def __init__(self, boxes: pd.DataFrame) -> None:
         boxes = boxes.dropna().sort_values(["side", "id"])
         x, y, w, h = (boxes[c].to_numpy("int64") for c in ("x", "y", "w", "h"))
-        extent = int(max((x + w).max(), (y + h).max(), 0)) + 1 if len(boxes) else 1
-        self.cell = max(CELL, -(-extent // SIDE))
+        right, low = (max(0, int(boxes[c].iloc[0])) if len(boxes) else 0 for c in ("right", "low"))
+        self.cell = max(CELL, -(-(max(right, low) + 1) // SIDE))
         to = lambda v: np.maximum(v, 0) // self.cell
-        self.shape = (int(to(y + h).max()) + 1, int(to(x + w).max()) + 1) if len(boxes) else (1, 1)
+        self.shape = (low // self.cell + 1, right // self.cell + 1)
         self.sides: dict[int, list[np.ndarray]] = {0: [], 1: []}
         for side, a, b, c, d in zip(boxes["side"], to(x), to(y), to(x + w) + 1, to(y + h) + 1):
             m = np.zeros(self.shape, bool)
@@ -44,9 +45,13 @@ class Sheet:
 
 
 def sheets(page_regions: DataFrame, page_readings: DataFrame) -> DataFrame:
-    """``page, side, id, x, y, w, h`` of the boxes that are drawn: the first three regions and two readings of each page, which are all that is asked of a sheet, and the page's whole extent."""
-    both = page_regions.select(F.lit(0).alias("side"), "*").unionByName(page_readings.select(F.lit(1).alias("side"), "*"))
-    return both.where("page is not null").select("page", "side", "id", "x", "y", "w", "h")
+    """``page, side, id, x, y, w, h`` of the boxes that are asked of a sheet, the first three of each side by id, with ``right``
+    and ``low``, the page's extent. Null pages are none; however many boxes a page has, six rows of it meet in a task."""
+    both = page_regions.select(F.lit(0).alias("side"), "*").unionByName(page_readings.select(F.lit(1).alias("side"), "*")).where("page is not null")
+    extent = both.groupBy(F.col("page").alias("of")).agg(F.max(F.col("x") + F.col("w")).alias("right"), F.max(F.col("y") + F.col("h")).alias("low"))
+    place = F.row_number().over(Window.partitionBy("page", "side").orderBy("id"))
+    first = both.withColumn("place", place).where(F.col("place") <= 3)
+    return first.join(extent, F.col("page") == F.col("of")).select("page", "side", "id", "x", "y", "w", "h", "right", "low")
 
 
 def _sheets(spark: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import exprs
-from quire.operators import ledger, sequence
+from quire.operators import ledger, pairs, sequence
 from quire.plans.matching import signature_words
 from quire.plans.registry import Registry
 from quire.plans.relational import money
@@ -17,6 +17,8 @@ from quire.sources.tables import table
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
+#: Boxes of a page beyond which its order of keeping is followed in rounds over pairs.
+HOT_PAGE = 20_000
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -192,12 +194,20 @@ k AS (SELECT page, list_reduce(rows, lambda acc, x: CASE WHEN len(list_filter(ac
 SELECT page, r.id AS id FROM (SELECT page, unnest(kept) AS r FROM k)""")
 def greedy_nms(spark: SparkSession, d: str) -> DataFrame:
     """Readings of a page kept in stable hash order when each is dropped that overlaps an earlier kept one by 0.85."""
+    return kept_readings(_boxes(spark, d))
+
+
+def kept_readings(boxes: DataFrame, limit: float = 0.85, hot_rows: int = HOT_PAGE) -> DataFrame:
+    """``page, id`` of the boxes kept; pages of more than ``hot_rows`` boxes are never one task (see ``pairs.boxes_kept``)."""
 
     def body(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["order", "id"])
-        return g.loc[sequence.greedy_keep(g[["x", "y", "w", "h"]].to_numpy("float64"), 0.85), ["page", "id"]]
+        return g.loc[sequence.greedy_keep(g[["x", "y", "w", "h"]].to_numpy("float64"), limit), ["page", "id"]]
 
-    return sequence.by_group(_boxes(spark, d).withColumn("order", F.sha2("id", 256)), "page", body, "page string, id string")
+    hot = sequence.hot_keys(boxes, "page", hot_rows)
+    ordinary = boxes if hot is None else boxes.join(hot, F.col("page").eqNullSafe(F.col("q_hot")), "left_anti")
+    kept = sequence.by_group(ordinary.withColumn("order", F.sha2("id", 256)), "page", body, "page string, id string")
+    return kept if hot is None else kept.unionByName(pairs.boxes_kept(boxes.join(hot, F.col("page").eqNullSafe(F.col("q_hot")), "left_semi"), limit))
 
 
 def distinct_vectors(rows: DataFrame, limit: int, chunk_rows: int = sequence.CHUNK_ROWS) -> DataFrame:

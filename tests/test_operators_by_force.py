@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import exprs, text
 from quire.operators import evaluate, graph, pairs, reconcile
-from quire.plans import matching
+from quire.plans import matching, sequences
 
 rng = random.Random(23)
 
@@ -136,3 +136,11 @@ def test_dispositions_and_drift(spark):
     assert {r["i"]: r["finding"] for r in found.collect()} == {c[0]: c[5] for c in cases}
     log = spark.createDataFrame([("a", "x", 1), ("a", "x", 2), ("a", "y", 3), ("b", None, 1)], "k string, v string, t int")
     assert {r["k"]: (r["n_deliveries"], r["n_drifted"]) for r in reconcile.fingerprint_drift(log, "k", ["v"], "t").collect()} == {"a": (3, 1), "b": (1, 0)}
+
+
+def test_hot_pages_keep_the_same_boxes(spark):
+    data = [("p", f"b{i:03d}", rng.randrange(0, 60), rng.randrange(0, 60), rng.choice([0, 40, 41, 42]), rng.choice([30, 31])) for i in range(160)]
+    data += [("p", f"c{i}", *data[i][2:]) for i in range(30)] + [("q", "b000", 1, 1, 9, 9), ("q", "b001", 1, 1, 9, 9), ("q", "z", 5, 5, 0, 0)]
+    df = spark.createDataFrame(data, "page string, id string, x int, y int, w int, h int")
+    want = rows(sequences.kept_readings(df))
+    assert rows(sequences.kept_readings(df, hot_rows=100)) == rows(sequences.kept_readings(df, hot_rows=1)) == want and len(want) < len(data)
