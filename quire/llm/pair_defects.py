@@ -44,7 +44,8 @@ SHARE = 0.5
 REFUSAL_SHARE = 0.3
 LANGUAGE_GRAMS, LANGUAGE_BITS = (1, 2, 3), 16
 REFUSAL_GRAMS, REFUSAL_BITS = (2, 3, 5), 18
-ENDINGS, ENDING_BITS = (8, 5, 3), 20
+WHOLE = 1 << 40
+ENDINGS, ENDING_BITS = (WHOLE, 6, 3), 20  # letters before a place; first all of its clause's
 LEAD_BITS = 20
 ALL_ROWS = 2 << LEAD_BITS
 LEAD_SHARE = 0.001
@@ -119,12 +120,19 @@ def _text_hash(values: list[str | None]) -> np.ndarray:
     return Hashes(b.points).of(np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends, ends)
 
 
-def _ending_slots(x: Letters, at: np.ndarray, first: np.ndarray, lang: np.ndarray, size: int, hashes: Hashes) -> np.ndarray:
-    """Slots of the ``size`` letters before each place ``at`` (the clause's start counts as one), apart by language."""
+def _ending_slots(x: Letters, at: np.ndarray, first: np.ndarray, lang: np.ndarray, size: int, hashes: Hashes) -> list[np.ndarray]:
+    """Two slots, each in a table of its own, of the ``size`` letters before each place ``at`` (the clause's start counts as one), apart by language."""
     start = np.maximum(at - size, first)
     with np.errstate(over="ignore"):
         h = hashes.of(start, at) + (at - first < size) * np.uint64(0x632BE59BD9B4E019) + lang * np.uint64(3)
-    return slots(mixed(h), ENDING_BITS)
+    h = mixed(h)
+    both = (slots(h, ENDING_BITS), slots(h << np.uint64(ENDING_BITS), ENDING_BITS))
+    return [slot + ((2 * ENDINGS.index(size) + i) << ENDING_BITS) for i, slot in enumerate(both)]
+
+
+def no_endings() -> np.ndarray:
+    """Counts of endings of no text: going on and done, by slot."""
+    return np.zeros((2, (2 * len(ENDINGS)) << ENDING_BITS), "int32")
 
 
 def _clause_slots(x: Letters, hashes: Hashes) -> np.ndarray:
@@ -134,8 +142,8 @@ def _clause_slots(x: Letters, hashes: Hashes) -> np.ndarray:
     return np.stack([slots(h, LEAD_BITS), slots(mixed(h ^ np.uint64(0x2545F4914F6CDD1D)), LEAD_BITS) + (1 << LEAD_BITS)])
 
 
-def count_batch(batch: Batch) -> list[tuple[int, str | None, np.ndarray, np.ndarray, np.ndarray]]:
-    """(kind, language, slot, count, second count) behind the features, of one batch."""
+def count_batch(batch: Batch, endings: np.ndarray) -> list[tuple[int, str | None, np.ndarray, np.ndarray, np.ndarray]]:
+    """(kind, language, slot, count, second count) behind the features, of one batch; its clauses' endings are added to ``endings``."""
     c, out = batch.columns, []
     answers = block([None if f else t for t, f in zip(c["translation_text"], batch.flagged)])
     source = letters(block(c["source_text"]))
@@ -184,14 +192,20 @@ def count_batch(batch: Batch) -> list[tuple[int, str | None, np.ndarray, np.ndar
         done[stops - 1] = True
         used = ~done | np.repeat(said.closed, stops - starts)
         lang = _text_hash(c["target_lang"])[own.group]
+        ended = done[used]
         for size in ENDINGS:
-            slot = _ending_slots(x, at[used], first[used], lang[used], size, hashes) + (ENDINGS.index(size) << ENDING_BITS)
-            known, where = np.unique(slot, return_inverse=True)
-            ended = np.bincount(where, done[used], len(known)).astype("int64")
-            out.append((IS_ENDING, None, known, np.bincount(where, minlength=len(known)) - ended, ended))
+            for slot in _ending_slots(x, at[used], first[used], lang[used], size, hashes):
+                np.add.at(endings[0], slot[~ended], 1)
+                np.add.at(endings[1], slot[ended], 1)
     return out
 
 
+def ending_counts(endings: np.ndarray) -> tuple[int, None, np.ndarray, np.ndarray, np.ndarray]:
+    """The counts of endings in the form of the others."""
+    held = np.flatnonzero(endings.any(0))
+    return IS_ENDING, None, held, endings[0, held].astype("int64"), endings[1, held].astype("int64")
+
+
 class Statistics:
     """Counts over all rows behind the features; of fixed size for each language, whatever the number of rows."""
 
@@ -212,7 +226,7 @@ class Statistics:
         self.code = {x: i for i, x in enumerate(self.languages)}
         k = len(self.languages)
         tally, scripts = np.full((k, 1 << LANGUAGE_BITS), 0.05), np.zeros((k, 256))
-        refusal, ends = np.zeros((2, 1 << REFUSAL_BITS)), np.zeros((2, len(ENDINGS) << ENDING_BITS))
+        refusal, ends = np.zeros((2, 1 << REFUSAL_BITS)), np.zeros((2, (2 * len(ENDINGS)) << ENDING_BITS), "float32")
         leads = np.zeros(ALL_ROWS + 1)
         for kind, lang, slot, n, m in parts:
             if kind == IS_LEAD:
@@ -232,13 +246,15 @@ class Statistics:
         odds = np.log((refusal[0] / max(r, 1.0) + share + 1e-12) / (refusal[1] / max(g, 1.0) + share + 1e-12)) if r and g else np.zeros(1 << REFUSAL_BITS)
         self.refusal = np.clip(odds, -3, 3).astype("float32")
         self.lead = leads[:ALL_ROWS] > LEAD_SHARE * leads[ALL_ROWS]
-        self.known_end = ends.sum(0) > 1
-        self.end = np.log((ends[1] + 0.2) / (ends[0] + 0.2)).astype("float32")
+        # An ending has a slot in either of two tables; the one with fewer counts holds fewer of other endings.
+        self.end_count = np.log1p(ends.sum(0)).astype("float16")
+        self.end = np.log((ends[1] + 0.2) / (ends[0] + 0.2)).astype("float16")
 
     @classmethod
     def of_rows(cls, rows: list[dict]) -> Statistics:
         """Statistics of rows in memory."""
-        return cls(count_batch(Batch.of_rows(rows)))
+        endings = no_endings()
+        return cls([*count_batch(Batch.of_rows(rows), endings), ending_counts(endings)])
 
 
 def _shares(x: Letters, table: np.ndarray, sizes: tuple[int, ...], bits: int, hashes: Hashes) -> np.ndarray:
@@ -320,9 +336,10 @@ def features(stats: Statistics, batch: Batch) -> tuple[np.ndarray, np.ndarray, n
         begins = stops - size[asks]
         lang = _text_hash(c["target_lang"])[row[asks]]
         value, seen = np.zeros(len(stops)), np.zeros(len(stops), bool)
-        for i, length in enumerate(ENDINGS):
-            slot = _ending_slots(x, stops, begins, lang, length, hashes) + (i << ENDING_BITS)
-            new = ~seen & stats.known_end[slot]
+        for length in ENDINGS:
+            one, two = _ending_slots(x, stops, begins, lang, length, hashes)
+            slot = np.where(stats.end_count[one] <= stats.end_count[two], one, two)
+            new = ~seen & (stats.end_count[slot] > 0.7)  # more than once
             value[new], seen[new] = stats.end[slot[new]], True
         ends[asks], known[asks] = value, seen
     whole_source = source_mark[row] == 0
@@ -373,7 +390,7 @@ def examples(stats: Statistics, rows: list[dict], seed: int = 7) -> list[tuple[n
     for r in good:
         made.append((r | {"content": None}, 0, False))
         text, spoil = r["translation_text"], rng.random()
-        if spoil < (0.12 if _last_mark(r["source_text"] or "") else 0.3):  # broken off inside a clause, oftener where no mark is due
+        if spoil < (0.12 if _last_mark(r["source_text"] or "") else 0.2):  # broken off inside a clause, oftener where no mark is due
             spots = [m.end() for m in re.finditer(r"\w", text) if m.end() < len(text.rstrip("。！？.!?…—” 」")) and m.end() > 1]
             if spots:
                 made.append((r | {"translation_text": text[: rng.choice(spots)], "content": "{" if rng.random() < 0.4 else None}, 4, True))
@@ -405,7 +422,7 @@ def _last_mark(text: str) -> str:
 
 
 class Judge:
-    """A fitted field with its statistics: some 20 MB and a quarter of a megabyte for each language, whatever the table's size."""
+    """A fitted field with its statistics: some 30 MB and a quarter of a megabyte for each language, whatever the table's size."""
 
     def __init__(self, stats: Statistics, rows: list[dict]) -> None:
         self.stats = stats
@@ -472,17 +489,21 @@ def count_rows(rows: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
+        endings = no_endings()
 
         def summed(parts: list[tuple]) -> tuple:
             slot, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
             return (slot, *[np.bincount(where, np.concatenate([p[i] for p in parts]), len(slot)).astype("int64") for i in (1, 2)])
 
         for _, batch in _batches(batches, TEXTS):
-            for kind, lang, slot, n, m in count_batch(batch):
+            for kind, lang, slot, n, m in count_batch(batch, endings):
                 parts = held.setdefault((kind, lang), [])
                 parts.append((slot, n, m))
                 if len(parts) >= 16:
                     held[(kind, lang)] = [summed(parts)]
+        if endings.any():
+            kind, lang, *counts = ending_counts(endings)
+            held[(kind, lang)] = [tuple(counts)]
         for (kind, lang), parts in held.items():
             slot, n, m = summed(parts)
             langs = pa.array([lang] * len(slot), pa.string())
@@ -507,7 +528,7 @@ def sample_rows(rows: DataFrame, fit_rows: int = FIT_ROWS, fit_refusals: int = F
 def fit_judge(rows: DataFrame, fit_rows: int = FIT_ROWS, fit_refusals: int = FIT_REFUSALS, fit_chars: int = FIT_CHARS) -> Judge:
     """A judge with counts over all rows and a field fitted on the bounded sample of ``sample_rows``.
 
-    What reaches the driver is the sample and at most a row a slot: 65,792 a language, 262,144 for refusals, 3,145,728 for
+    What reaches the driver is the sample and at most a row a slot: 65,792 a language, 262,144 for refusals, 6,291,456 for
     endings and 2,097,152 for clauses of instructions.
     """
     stats = Statistics(count_rows(rows).toArrow())
