@@ -80,7 +80,7 @@ def otsu_threshold(rows: DataFrame, bin_of: Column, keys: Sequence[str] = ()) ->
 
 
 def value_ranks(rows: DataFrame, keys: Sequence[str], value: str, hot_values: int = sequence.HOT_ROWS) -> DataFrame:
-    """``keys, key_text, value, n, upto``: each distinct value of a key with its rows and those up to it.
+    """``keys, value, n, upto, total``: each distinct value of a key with its rows, those up to it and all of the key.
 
     Equal values combine before they are shuffled, so what is ranked grows with the distinct values; keys with more than
     ``hot_values`` of them are ranked in chunks that follow each other, never in one task. Null and nan values are left out.
@@ -89,23 +89,28 @@ def value_ranks(rows: DataFrame, keys: Sequence[str], value: str, hot_values: in
     if dict(held.dtypes)[value] in ("float", "double"):
         held = held.where(~F.isnan(value))
     counts = held.groupBy(*keys, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    many = held.groupBy(*keys).agg(F.count("*").alias("q_n")).where(F.col("q_n") > hot_values).limit(1).count()  # few rows have few values
     one = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("")
-    counts = counts.withColumn("key_text", one)
-    return sequence.running_sum(counts, "key_text", ["value"], F.col("n"), "upto", sequence.hot_keys(counts, "key_text", hot_values))
+    named = counts.withColumn("key_text", one)
+    hot = sequence.hot_keys(named, "key_text", hot_values) if many else None
+    if hot is None:
+        whole = Window.partitionBy(*keys)
+        upto = whole.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        return counts.select(*keys, "value", "n", F.sum("n").over(upto).alias("upto"), F.sum("n").over(whole).alias("total"))
+    ranks = sequence.running_sum(named, "key_text", ["value"], F.col("n"), "upto", hot)
+    totals = named.groupBy(F.col("key_text").alias("of")).agg(F.sum("n").alias("total"))
+    return ranks.join(totals, F.col("key_text") == F.col("of")).select(*keys, "value", "n", "upto", "total")
 
 
 def _at_ranks(ranks: DataFrame, keys: Sequence[str], wanted: dict[str, Column]) -> DataFrame:
-    """``keys, n_rows`` and for each name the value at a rank that the number of rows ``total`` gives."""
-    totals = ranks.groupBy("key_text").agg(F.max("upto").alias("total")).withColumnRenamed("key_text", "of")
-    joined = ranks.join(totals, F.col("key_text") == F.col("of"))
-    picks = [F.min(F.when(F.col("upto") >= rank, F.col("value"))).alias(name) for name, rank in wanted.items()]
-    return joined.groupBy(*keys).agg(F.max("total").alias("n_rows"), *picks)
+    """``keys`` and for each name the value at a rank that the number of rows ``total`` gives."""
+    return ranks.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") >= rank, F.col("value"))).alias(name) for name, rank in wanted.items()])
 
 
 def exact_percentiles(rows: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], hot_values: int = sequence.HOT_ROWS) -> DataFrame:
     """``keys`` and for each name in ``shares`` the value of rank ceil(share * n), the first for share 0. Keys without a value give no row."""
     wanted = {name: F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("total"))) for name, share in shares.items()}
-    return _at_ranks(value_ranks(rows, keys, value, hot_values), keys, wanted).drop("n_rows")
+    return _at_ranks(value_ranks(rows, keys, value, hot_values), keys, wanted)
 
 
 def exact_medians(rows: DataFrame, keys: Sequence[str], value: str, hot_values: int = sequence.HOT_ROWS) -> DataFrame:

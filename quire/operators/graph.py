@@ -34,8 +34,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         low = down.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("low"))
         joined = down.join(low, F.col("u") == F.col("x"))
         small = joined.select("v", "low").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        links = cut_lineage(small.unionByName(low.select(F.col("x").alias("u"), F.col("low").alias("v"))).distinct())
-        state = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        seen = Observation()
+        step = small.unionByName(low.select(F.col("x").alias("u"), F.col("low").alias("v"))).distinct()
+        links = cut_lineage(step.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+        state = seen.get
         if state == before:
             return nodes.join(links, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("component"))
         before = state
@@ -62,9 +64,11 @@ def multi_source_reach(edges: DataFrame, seeds: DataFrame, bound: float, tie: fl
     before = None
     for _ in range(most_rounds):
         moved = state.join(two, F.col("node") == F.col("a")).select(F.col("b").alias("node"), "owner", (F.col("cost") + F.col("step")).alias("cost")).where(F.col("cost") <= bound)
-        state = cut_lineage(best_two(state.unionByName(moved)))
-        now = state.agg(F.count("*").alias("n"), F.sum("cost").alias("c"), F.sum(F.xxhash64("node", "owner").cast("decimal(38,0)")).alias("h")).first()
-        if before is not None and now["n"] == before["n"] and now["h"] == before["h"] and abs(now["c"] - before["c"]) < 1e-9:
+        seen = Observation()
+        measures = (F.count(F.lit(1)).alias("n"), F.sum("cost").alias("c"), F.sum(F.xxhash64("node", "owner").cast("decimal(38,0)")).alias("h"))
+        state = cut_lineage(best_two(state.unionByName(moved)).observe(seen, *measures))
+        now = seen.get
+        if before is not None and now["n"] == before["n"] and now["h"] == before["h"] and abs((now["c"] or 0) - (before["c"] or 0)) < 1e-9:
             break
         before = now
     else:

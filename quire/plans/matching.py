@@ -208,18 +208,18 @@ def near_signatures(rows: DataFrame) -> DataFrame:
     of their own in common there: each is placed under its 23 or 22 nearest words of each band, and only those of one word
     meet. A class is named by its smallest id; rows without a signature pair with none.
     """
-    classes = rows.where(F.col("high").isNotNull() & F.col("low").isNotNull()).groupBy("high", "low").agg(F.min("vec_id").alias("id"))
+    classes = rows.groupBy("high", "low").agg(F.min("vec_id").alias("id"))  # a null signature has null keys, which meet none
     bits = F.shiftleft("high", 32).bitwiseOR(F.col("low"))
     keys = []
     for band, (shift, width) in enumerate(((42, 22), (21, 21), (0, 21))):
         word = F.shiftrightunsigned("bits", shift).bitwiseAND((1 << width) - 1)
-        near = F.transform(F.array(*[F.lit(0), *[F.lit(1 << i) for i in range(width)]]), lambda x, word=word: word.bitwiseXOR(x.cast("long")))
-        keys.append(F.transform(near, lambda x, band=band: x * 4 + band))
-    placed = classes.select("id", bits.alias("bits")).select("id", "bits", F.explode(F.concat(*keys)).alias("key"))
+        keys += [word.bitwiseXOR(F.lit(x).cast("long")) * 4 + band for x in (0, *[1 << i for i in range(width)])]  # plain expressions: compiled, unlike a lambda
+    placed = classes.select("id", bits.alias("bits")).select("id", "bits", F.explode(F.array(*keys)).alias("key"))
     left, right = (placed.select(F.col("id").alias(f"{p}_id"), F.col("bits").alias(f"{p}_bits"), F.col("key").alias(f"{p}_key")) for p in "ab")
     met = left.join(right, (F.col("a_key") == F.col("b_key")) & (F.col("a_id") < F.col("b_id")))
     far = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))).alias("distance")
-    return met.select("a_id", "b_id", far).where("distance <= 7").distinct()
+    close = F.coalesce("distance", F.lit(64)) <= 7  # says nothing of nulls, for which the signatures would be made once more
+    return met.select("a_id", "b_id", far).where(close).distinct()
 
 
 @R.query(f"""WITH RECURSIVE {_REGIONS}, e AS (SELECT a.id AS u, b.id AS v FROM r a JOIN r b ON a.page = b.page AND a.id <> b.id WHERE {_GAP} <= 900),
