@@ -37,12 +37,11 @@ def calibrate(examples: DataFrame, score: str, positive: str, thresholds: Sequen
 
     Scores are counted by the number of thresholds they reach, so the examples are never multiplied by the grid.
     """
-    grid = sorted(thresholds)
+    grid = sorted(set(thresholds))
     reached = sum((F.col(score) >= t).cast("int") for t in grid)
     per = examples.where(F.col(score).isNotNull()).groupBy(reached.alias("reached")).agg(F.count_if(F.col(positive)).alias("pos"), F.count_if(~F.col(positive)).alias("neg"))
-    steps = examples.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(float(t)) for t in grid])).alias("i", "threshold"))
     hit = F.col("reached") > F.col("i")
-    joined = steps.join(F.broadcast(per), F.lit(True))  # at most a row more than there are thresholds
+    joined = per.select("reached", "pos", "neg", F.posexplode(F.array(*[F.lit(float(t)) for t in grid])).alias("i", "threshold"))  # at most a row more than there are thresholds, times these
     sums = joined.groupBy("threshold").agg(F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("fp"), F.sum(F.when(~hit, F.col("pos")).otherwise(0)).alias("fn"))
     return with_metrics(sums)
 

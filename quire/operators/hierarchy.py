@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quire.session import cut_lineage, shipped
+from quire.session import cut_lineage, parallelism, shipped
 
 #: Nodes of a component that one task holds (some 400 bytes each), and path entries of a component that one task writes.
 MAX_COMPONENT = 500_000
@@ -71,7 +71,8 @@ def label_components(links: DataFrame) -> DataFrame:
             )
         )
         seen = Observation()
-        step = state.where(~is_open).withColumn("lowered", F.lit(False)).unionByName(moved)
+        # Settled rows stay where they are; without the coalesce every round would add its partitions to theirs.
+        step = state.where(~is_open).withColumn("lowered", F.lit(False)).unionByName(moved).coalesce(parallelism(links.sparkSession))
         step = cut_lineage(step.observe(seen, F.count_if(is_open).alias("n_open"), F.count_if(is_open & F.col("lowered")).alias("n_lowered"))).drop("lowered")
         active, lowered = seen.get["n_open"], seen.get["n_lowered"]
         if not active:
@@ -245,8 +246,8 @@ def resolve_hierarchy(links: DataFrame, max_component: int = MAX_COMPONENT, max_
     too_big = F.col("n_nodes") > max_component
     if paths:
         too_big = too_big | (F.col("n_entries") > max_path_nodes)
-    big = cut_lineage(sizes.where(too_big).select("label"))
-    has_big = not big.isEmpty()
+    has_big = bool(sizes.agg(F.max(too_big).alias("any")).first()["any"])
+    big = cut_lineage(sizes.where(too_big).select("label")) if has_big else None
     small = labelled.join(big, "label", "left_anti") if has_big else labelled
     placed = small.select("label", "node_id", "parent_id").repartition("label").sortWithinPartitions("label")
     walked = shipped(placed).mapInPandas(_walk_partition(paths), TREE_SCHEMA if paths else NARROW_SCHEMA)

@@ -25,6 +25,15 @@ INK_LUMA, RIDGE_PERCENTILE, COLOUR_PERCENTILE, LEAST_COLOUR = 180.0, 92.0, 20.0,
 PHOTOMETRIC = np.array([0.2126, 0.7152, 0.0722])
 # Fixed values of bubbles and glyphs: dark line art, largest share of the page, least margin within a region.
 DARK, LARGEST_BUBBLE, LEAST_MARGIN = 150, 0.18, 2.0
+# Fixed values of a separator's correction: guard around the text, corridor and doubtful band in pixels, and its outcomes.
+GUARD, CORRIDOR, DOUBT = 1, 6, 2
+COMPLETE, INCOMPLETE = "COMPLETE", "INCOMPLETE_REVIEW"
+MOVED, LEFT_OVER = "text_aware_virtual_boundary_corrected", "required_text_not_safely_editable"
+BLOCKED, CROSSING = "guard_conflicts_visible_or_protected", "required_support_crosses_primary_instance"
+# Fixed values of regions of seeds: padding in scales, least padding, part of a box that is no seed, and the border shares of the kinds.
+PADDING, LEAST_PADDING, INSET, EXPLICIT, IMPLICIT = 0.75, 2, 5, 0.55, 0.25
+# Fixed values of patches: size in scales and its limits, and the weights of colour and slope in the cost of a step.
+PATCH_SCALE, PATCH_LEAST, PATCH_MOST, PER_COLOUR, PER_SLOPE = 0.5, 8, 32, 2.0, 4.0
 # Fixed values of superpixels: rounds, weight of distance, barrier, greatest cost of reach, and strength of an edge.
 ROUNDS, COMPACTNESS, BARRIER, REACH, STRONG = 5, 10.0, 0.85, 24.0, 0.45
 
@@ -120,7 +129,7 @@ class Separator(NamedTuple):
 
 def move_separator(
     own: np.ndarray, other: np.ndarray, separator: np.ndarray, visible: np.ndarray, required: np.ndarray, protected: np.ndarray, doubt: np.ndarray,
-    guard: int = 1, corridor_steps: int = 6, doubt_steps: int = 2, attempt: int = 1,
+    guard: int = GUARD, corridor_steps: int = CORRIDOR, doubt_steps: int = DOUBT, attempt: int = 1,
 ) -> Separator:
     """The one permitted correction of an inferred separator that runs through text.
 
@@ -139,18 +148,17 @@ def move_separator(
     guarded = grow(required, guard) & corridor
     reason = ""
     if (guarded & (visible | protected)).any():
-        reason = "guard_conflicts_visible_or_protected"
+        reason = BLOCKED
     elif (required & ~own).any():
-        reason = "required_support_crosses_primary_instance"
+        reason = CROSSING
     else:
         cleared = grow(guarded, doubt_steps) & corridor
         separator, doubt = separator & ~cleared, doubt & ~cleared
     safe = own & ~(visible | protected | separator | doubt)
     n_unsafe = int((required & ~safe).sum())
     if not reason:
-        reason = "text_aware_virtual_boundary_corrected" if not n_unsafe else "required_text_not_safely_editable"
-    done = reason == "text_aware_virtual_boundary_corrected"
-    return Separator("COMPLETE" if done else "INCOMPLETE_REVIEW", reason, separator, doubt, safe, corridor, n_unsafe)
+        reason = LEFT_OVER if n_unsafe else MOVED
+    return Separator(COMPLETE if reason == MOVED else INCOMPLETE, reason, separator, doubt, safe, corridor, n_unsafe)
 
 
 def local_background(image: np.ndarray, core: np.ndarray, instance: np.ndarray) -> np.ndarray | None:
@@ -307,8 +315,8 @@ def _hull(boxes: Sequence[Sequence[int]], padding: int, shape: tuple[int, int])
 
 
 def box_regions(shape: tuple[int, int], groups: Mapping[str, Sequence[Sequence[int]]], scales: Mapping[str, Sequence[float]]) -> tuple[dict[str, np.ndarray], bool]:
-    """The padded hull of each group's boxes, three quarters of the median scale wide, and whether any two overlap."""
-    out = {g: _hull(groups[g], max(2, round(0.75 * float(np.median(scales[g])))), shape) for g in sorted(groups)}
+    """The padded hull of each group's boxes, ``PADDING`` of the median scale wide, and whether any two overlap."""
+    out = {g: _hull(groups[g], max(LEAST_PADDING, round(PADDING * float(np.median(scales[g])))), shape) for g in sorted(groups)}
     return out, any((a & b).any() for a, b in itertools.combinations(out.values(), 2))
 
 
@@ -322,7 +330,7 @@ def flood_regions(strength: np.ndarray, groups: Mapping[str, Sequence[Sequence[i
     owner[[0, -1], :] = owner[:, [0, -1]] = 1
     for label, g in enumerate(sorted(groups), start=2):
         for x, y, bw, bh in groups[g]:
-            ix, iy = max(1, bw // 5), max(1, bh // 5)
+            ix, iy = max(1, bw // INSET), max(1, bh // INSET)
             owner[y + iy : y + bh - iy, x + ix : x + bw - ix] = label
     seeded = owner > 0
     level = np.where(seeded, 0.0, np.inf)
@@ -382,7 +390,7 @@ def patch_edges(image: np.ndarray, labels: np.ndarray, strength: np.ndarray) ->
         apart = a != b
         for u, v, k in zip(np.minimum(a, b)[apart].tolist(), np.maximum(a, b)[apart].tolist(), np.maximum(s, t)[apart].tolist()):
             wall[(u, v)] = max(wall.get((u, v), 0.0), k)
-    return [(u, v, 1 + 2 * float(np.linalg.norm(tint[u] - tint[v])) + 4 * k) for (u, v), k in sorted(wall.items()) if k < BARRIER]
+    return [(u, v, 1 + PER_COLOUR * float(np.linalg.norm(tint[u] - tint[v])) + PER_SLOPE * k) for (u, v), k in sorted(wall.items()) if k < BARRIER]
 
 
 def claim_patches(edges: Sequence[tuple[int, int, float]], seeds: Sequence[set[int]], n: int, reach: float = REACH, tie: float = 0.5) -> tuple[np.ndarray, np.ndarray, set[int]]:
@@ -424,17 +432,17 @@ def region_kind(mask: np.ndarray, strength: np.ndarray) -> tuple[str, float]:
     rim = (grow(outside, 1) & grow(~outside, 1))[1:-1, 1:-1]
     strong = float((strength[rim] >= STRONG).mean()) if rim.any() else 0.0
     at_border = bool(mask[[0, -1], :].any() or mask[:, [0, -1]].any())
-    if strong >= 0.55 and not at_border:
+    if strong >= EXPLICIT and not at_border:
         return "explicit_container", strong
-    if strong >= 0.25 or at_border:
-        return "implicit_container", max(0.25, strong)
+    if strong >= IMPLICIT or at_border:
+        return "implicit_container", max(IMPLICIT, strong)
     return "free_text", 1 - strong
 
 
 def patch_regions(image: np.ndarray, groups: Mapping[str, Sequence[Sequence[int]]], scale: float) -> dict[str, tuple[np.ndarray, str, float]]:
     """Region, kind and confidence of each group of boxes, by claiming superpixels from those that the boxes touch."""
     strength = slope(image)
-    labels = superpixels(image, int(np.clip(round(0.5 * scale), 8, 32)))
+    labels = superpixels(image, int(np.clip(round(PATCH_SCALE * scale), PATCH_LEAST, PATCH_MOST)))
     names = sorted(groups)
     seeds = [set(np.unique(np.concatenate([labels[y : y + h, x : x + w].ravel() for x, y, w, h in groups[g]])).tolist()) - {-1} for g in names]
     owner, _, _ = claim_patches(patch_edges(image, labels, strength), seeds, int(labels.max()) + 1)
