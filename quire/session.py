@@ -45,7 +45,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         if not named and not is_local(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return without_estimates(df.checkpoint(eager=True))
+
+
+def without_estimates(df: DataFrame) -> DataFrame:
+    """``df``, a checkpoint, without the size that its plan was estimated to have.
+
+    A checkpoint keeps that estimate, and a join's is the product of its sides': over rounds of joins the number of its
+    digits doubles, until the planner does nothing but multiply.
+    """
+    frame = df._jdf
+    plain = frame.sparkSession().internalCreateDataFrame(frame.queryExecution().toRdd(), frame.schema(), False)
+    return DataFrame(plain, df.sparkSession)
 
 
 def ship_package(spark: SparkSession) -> None:

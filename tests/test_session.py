@@ -35,7 +35,8 @@ def test_local_workers_of_another_folder_get_the_package(monkeypatch, tmp_path):
     assert len(sent) == 1
 
 
-def test_a_cluster_needs_a_shared_checkpoint_folder():
+def test_a_cluster_needs_a_shared_checkpoint_folder(monkeypatch):
+    monkeypatch.setattr(session, "without_estimates", lambda df: df)
     for master, conf, fails in (("spark://host:7077", {}, True), ("spark://host:7077", {"spark.checkpoint.dir": "/shared/x"}, False), ("local[2]", {}, False)):
         spark, sent = fake(master, conf)
         df = SimpleNamespace(sparkSession=spark, checkpoint=lambda eager: "cut")
@@ -50,3 +51,12 @@ def test_entry_without_the_llm_libraries():
     code = "import sys; sys.modules['ahocorasick'] = None; sys.modules['tiktoken'] = None; import __spark_entry__ as e; q = e.queries(); assert 'p2_found' in q and len(q) > 100; print('fine')"
     done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
     assert done.stdout.strip() == "fine", done.stderr
+
+
+def test_rounds_of_joins_stay_quick(spark):
+    """A checkpoint's estimated size would be squared in every round."""
+    df = spark.range(50).selectExpr("id", "id + 1 AS next")
+    for _ in range(25):
+        ahead = df.selectExpr("id AS at", "next AS next2")
+        df = session.cut_lineage(df.join(ahead, df["next"] == ahead["at"], "left").selectExpr("id", "coalesce(next2, next) AS next"))
+    assert df.count() == 50 and len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 30
